@@ -337,7 +337,7 @@ def in_bbox(spark, sf):
 
 @query
 def in_bbox_across(spark, sf):
-    return t.space_events(spark, sf).where(p.in_box(120, -50, -100, 60)).select("event_key")
+    return t.space_events(spark, sf).where(p.in_box(120, -75, -100, 75)).select("event_key")
 
 
 @query
@@ -698,8 +698,8 @@ def flag_selected_clusters(spark, sf):
 def cluster_colour_shares(spark, sf):
     events = t.space_events(spark, sf)
     cells = spatial.cluster_members(_points(spark, sf), 4).select("label", "cell_x", "cell_y")
-    members = groups.located_events(events).join(cells, "label")
-    shares = groups.colour_shares(members, ["cell_x", "cell_y"], COLOUR_SETS)
+    hits = groups.colour_hits(groups.located_events(events), "label", COLOUR_SETS)
+    shares = groups.shares_of_hits(hits.join(cells, "label"), ["cell_x", "cell_y"], COLOUR_SETS)
     return shares.withColumn("share", F.round("share", 6))
 
 
@@ -752,8 +752,8 @@ def lanes_used(spark, sf):
 
 @query
 def lane_islands(spark, sf):
-    """Sessions with more than one event in chains of overlap: size and span of each chain."""
-    spans = built(spark, sf).where(F.col("event_count") > 5).select(
+    """Chains of overlapping sessions: size and span of each chain."""
+    spans = built(spark, sf).select(
         F.col("session").alias("first_key"), F.col("start_datetime").alias("start"),
         F.col("end_datetime").alias("end"),
     )

@@ -64,33 +64,43 @@ def set_hits(sets: Sequence[Sequence[str]], associations: str = "associations")
     return hits
 
 
-def colour_shares(events: DataFrame, key: str | Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
-    """Share of each colour set in each group's hits, as (set_idx, hits, share) rows.
+def colour_hits(events: DataFrame, key: str | Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Hits of each colour set per group, as columns ``n0``, ``n1``, ...
 
-    Without sets or hits there is one row with the whole share. The counts are plain sums,
-    so nothing is exploded before the shuffle.
+    Plain sums: nothing is exploded, and groups add up before the shuffle.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    sums = [F.sum(h).alias(f"n{i}") for i, h in enumerate(set_hits(sets))]
+    return events.groupBy(*keys).agg(*sums) if sums else events.select(*keys).distinct()
+
+
+def shares_of_hits(hits: DataFrame, key: str | Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Hits of smaller groups added up by ``key``, as (set_idx, hits, share) rows.
+
+    Without sets or hits there is one row with the whole share.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    counts = [F.sum(h).alias(f"_n{i}") for i, h in enumerate(set_hits(sets))]
-    if not counts:
-        alone = events.select(*keys).distinct()
-        return alone.select(
-            *keys, F.lit(0).alias("set_idx"), F.lit(0).cast("long").alias("hits"), F.lit(1.0).alias("share")
-        )
-    groups = events.groupBy(*keys).agg(*counts)
-    hits = [F.col(f"_n{i}") for i in range(len(sets))]
-    total = sum(hits[1:], hits[0])
 
     def row(place, n, share):
         return F.struct(
             F.lit(place).alias("set_idx"), n.cast("long").alias("hits"), share.cast("double").alias("share")
         )
 
-    dense = F.array(*[row(i, n, F.try_divide(n, total)) for i, n in enumerate(hits)])
     whole = F.array(row(0, F.lit(0), F.lit(1.0)))
+    if not sets:
+        return hits.select(*keys).distinct().select(*keys, F.inline(whole))
+    names = [f"n{i}" for i in range(len(sets))]
+    groups = hits.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    total = sum([F.col(n) for n in names[1:]], F.col(names[0]))
+    dense = F.array(*[row(i, F.col(n), F.try_divide(F.col(n), total)) for i, n in enumerate(names)])
     return groups.select(*keys, F.inline(F.when(total > 0, dense).otherwise(whole)))
 
 
+def colour_shares(events: DataFrame, key: str | Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Share of each colour set in each group's hits."""
+    return shares_of_hits(colour_hits(events, key, sets), key, sets)
+
+
 def categories_by_panel(categories: DataFrame, panels: Sequence[str]) -> DataFrame:
     """Categories with their ``panel``: the first path part, or one panel for all."""
     panel = F.get("filter_paths", F.lit(0)) if len(panels) > 1 else F.lit("default")

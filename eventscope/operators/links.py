@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope.operators.contracts import messages, split_by_errors
 
-# A lookup table up to this many rows is put into the plan as a map.
-SMALL_ROWS = 1_000
+# A lookup table up to this size is put into the plan as a map. Map keys are searched one
+# by one, so a longer table is better joined.
+SMALL_ROWS = 200
+SMALL_CHARACTERS = 1_000_000
 
 
 def _as_map(table: DataFrame, key: str, fields: Sequence[str], small_rows: int) -> Column | None:
@@ -15,7 +17,7 @@ def _as_map(table: DataFrame, key: str, fields: Sequence[str], small_rows: int)
     entry = F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))
     rows = table.select(F.to_json(entry).alias("j"), entry.alias("e")).limit(small_rows + 1)
     found = rows.select("j").collect()
-    if len(found) > small_rows:
+    if len(found) > small_rows or sum(len(r.j) for r in found) > SMALL_CHARACTERS:
         return None
     schema = f"array<{rows.schema['e'].dataType.simpleString()}>"
     entries = F.from_json(F.lit("[" + ",".join(r.j for r in found) + "]"), schema)
