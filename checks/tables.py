@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a raw log: a session is a user's day."""
-    events = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    k = F.col("k")
     value = F.col("value")
     return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session"),

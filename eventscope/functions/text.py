@@ -13,8 +13,8 @@ WORDS_OF_LINE = 10
 
 
 def quote(query: str) -> str:
-    """Backslash every sign, in a form that all regex dialects read alike."""
-    return re.sub(r"([^0-9A-Za-z_\s\u0080-￿])", r"\\\1", query)
+    """Backslash every sign that could be special in a pattern."""
+    return re.sub(r"([^0-9A-Za-z_\s\u0080-\U0010ffff])", r"\\\1", query)
 
 
 def snippet_pattern(query: str) -> str:
@@ -24,13 +24,32 @@ def snippet_pattern(query: str) -> str:
     )
 
 
+def _near_hits(text: Column, query: str) -> Column:
+    """The text without the middle of long stretches that hold no hit.
+
+    The pattern sees at most the words after a hit and those before the next, and one more
+    on either side to tell that there are more; trying it on the rest would find nothing,
+    slowly.
+    """
+    after, before = WORDS_AFTER + 2, WORDS_BEFORE + 2
+
+    def shorten(stretch: Column) -> Column:
+        spaces = F.length(stretch) - F.length(F.translate(stretch, " ", ""))
+        ends = F.concat_ws(
+            " ", F.substring_index(stretch, " ", after), F.substring_index(stretch, " ", -before)
+        )
+        return F.when(spaces < after + before, stretch).otherwise(ends)
+
+    stretches = F.split(text, quote(query.lower()))
+    return F.array_join(F.transform(stretches, shorten), query.lower())
+
+
 def snippets(text, query: str) -> Column:
     """Every hit with the words around it, lower-cased; without a hit, the first words."""
     text = column(text)
     low = F.lower(text)
-    hits = F.regexp_extract_all(low, F.lit(snippet_pattern(query)), F.lit(1))
+    hits = F.regexp_extract_all(_near_hits(low, query), F.lit(snippet_pattern(query)), F.lit(1))
     first_words = F.regexp_extract(text, r"^(([^ ]* ){0,%d})" % WORDS_OF_LINE, 1)
-    # The plain search is cheap and spares most rows the pattern.
     return F.when(
         low.contains(query.lower()), F.transform(hits, lambda hit: F.concat(F.lit("..."), hit))
     ).otherwise(F.array(first_words))

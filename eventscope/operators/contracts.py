@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.functions.values import blank_to_null, decimal_point, event_time
+from eventscope.operators.once import computed
 
 REJECTS_SCHEMA = "table string, id string, message string, row_json string"
 
@@ -113,10 +114,10 @@ def _json_path(name: str) -> str:
     return f"$['{name}']"
 
 
-def fields_of(contract: Contract, variant: Column) -> list[Column]:
+def fields_of(contract: Contract, variant: Column) -> dict[str, Column]:
     """The contract's fields of a JSON object as typed columns."""
     kinds = {**{n: "string" for n in contract.text}, **{n: "array<string>" for n in contract.lists}}
-    return [F.try_variant_get(variant, _json_path(n), kinds[n]).alias(n) for n in contract.columns]
+    return {n: F.try_variant_get(variant, _json_path(n), kinds[n]) for n in contract.columns}
 
 
 def contract_errors(df: DataFrame, contract: Contract) -> Column:
@@ -183,7 +184,7 @@ def parse_event_time(
     df: DataFrame, date_format: str = fixed.DATE_FORMAT, time_format: str = fixed.TIME_FORMAT
 ) -> tuple[DataFrame, DataFrame]:
     """Adds ``datetime``; rows whose time cannot be read are set aside."""
-    timed = df.withColumn("datetime", event_time("date", "time", date_format, time_format))
+    timed = computed(df, {"datetime": event_time("date", "time", date_format, time_format)})
     errors = messages([(F.col("datetime").isNull(), "date or time cannot be read")])
     ok, rejects = split_by_errors(timed, "events", errors)
     return ok, rejects

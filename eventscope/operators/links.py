@@ -1,5 +1,6 @@
 """Links: ids to objects, events to events."""
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,14 +15,15 @@ SMALL_CHARACTERS = 1_000_000
 
 def _as_map(table: DataFrame, key: str, fields: Sequence[str], small_rows: int) -> Column | None:
     """The lookup table as a constant map from key to struct, if it is small."""
-    entry = F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))
-    rows = table.select(F.to_json(entry).alias("j"), entry.alias("e")).limit(small_rows + 1)
-    found = rows.select("j").collect()
-    if len(found) > small_rows or sum(len(r.j) for r in found) > SMALL_CHARACTERS:
+    rows = table.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("object")
+    )
+    found = rows.limit(small_rows + 1).collect()
+    if len(found) > small_rows or sum(len(r.object) for r in found) > SMALL_CHARACTERS:
         return None
-    schema = f"array<{rows.schema['e'].dataType.simpleString()}>"
-    entries = F.from_json(F.lit("[" + ",".join(r.j for r in found) + "]"), schema)
-    return F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull()))
+    # Constant, so it is parsed once, when the plan is made.
+    text = "{" + ",".join(f"{json.dumps(r.key)}:{r.object}" for r in found) + "}"
+    return F.from_json(F.lit(text), f"map<string,{_object_type(table, fields)}>")
 
 
 def resolve_refs(
@@ -70,8 +72,11 @@ def resolve_refs(
 
 
 def _array_type(table: DataFrame, fields) -> str:
-    inner = table.select(F.struct(*fields).alias("o")).schema["o"].dataType.simpleString()
-    return f"array<{inner}>"
+    return f"array<{_object_type(table, fields)}>"
+
+
+def _object_type(table: DataFrame, fields) -> str:
+    return table.select(F.struct(*fields).alias("o")).schema["o"].dataType.simpleString()
 
 
 def attach_sources(df: DataFrame, sources: DataFrame, key: str = "source_id", **options) -> DataFrame:

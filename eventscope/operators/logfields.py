@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
+from eventscope.operators.once import computed
 
 _HEADER = [*fixed.ENVELOPE, "datetime"]
 _PLACED = ["timestamp", "message"]
@@ -22,8 +23,9 @@ def field_coverage(log: DataFrame, schema: DataFrame, raw: str = "raw") -> DataF
     Display order: timestamp, the declared fields, undeclared ones as logged, message.
     The header's fields are left out.
     """
+    log = computed(log, {"_logged": F.json_object_keys(raw)})
     log = log.join(declared_fields(schema), "eventid", "left")
-    logged = F.json_object_keys(raw)
+    logged = F.col("_logged")
     header = F.array(*[F.lit(f) for f in [*_HEADER, *_PLACED]])
     declared = F.coalesce("declared", F.array().cast("array<string>"))
 
@@ -38,7 +40,7 @@ def field_coverage(log: DataFrame, schema: DataFrame, raw: str = "raw") -> DataF
     return log.withColumns({
         "fields": F.concat(only("timestamp"), carried, undeclared, only("message")),
         "absent": F.filter(specific, lambda f: ~F.array_contains(logged, f)),
-    }).drop("declared")
+    }).drop("declared", "_logged")
 
 
 def _text(value: Column) -> Column:

@@ -42,8 +42,6 @@ def timeline_events(events: DataFrame, payload: tuple[str, ...] = ("session", "r
 def track_rows(events: DataFrame, titles, fallback: str | None = None) -> DataFrame:
     """A row per event and active category; an event with none gets one row, on the track
     of its own ``category`` column if ``fallback`` names it."""
-    tracks = p.active_categories(titles)
     other = F.col(fallback) if fallback else F.lit(None).cast("string")
-    return events.withColumn(
-        "track", F.explode(F.when(F.size(tracks) > 0, tracks).otherwise(F.array(other)))
-    )
+    tracks = events.withColumn("track", F.explode_outer(p.active_categories(titles)))
+    return tracks.withColumn("track", F.coalesce("track", other))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from eventscope import fixed_values as fixed
 from eventscope.functions.values import blank_to_null, to_number
+from eventscope.operators.once import computed
 from eventscope.operators.ordering import HOT_ROWS, numbered
 
 RECORD_COLUMNS = ["record_src_ip", "location", "latitude", "longitude"]
@@ -26,12 +27,8 @@ def clean_log(log: DataFrame) -> DataFrame:
         ts = F.try_to_timestamp(F.col("timestamp"))
     else:
         ts = F.col("timestamp").cast("timestamp")
-    return (
-        log.where(F.col("eventid") != "")
-        .withColumn("ts", ts)
-        .where(F.col("ts").isNotNull())
-        .withColumn("ms", F.unix_millis("ts"))
-    )
+    timed = computed(log.where(F.col("eventid") != ""), {"ts": ts})
+    return timed.where(F.col("ts").isNotNull()).withColumn("ms", F.unix_millis("ts"))
 
 
 def stage_number(eventid="eventid", ladder=fixed.STAGES) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.operators import contracts, links
+from eventscope.operators.once import computed
 from eventscope.operators.sessions import log_to_events
 from eventscope.sources.dimensions import read_dimension
 from eventscope.sources.payloads import read_events, read_session_export
@@ -84,9 +85,8 @@ def link_domain(
     linked = contracts.normalise_coordinates(checked)
     linked = links.join_shape(linked, shapes)
     if "datetime" not in linked.columns:
-        linked = linked.withColumn(
-            "datetime", contracts.event_time("date", "time", date_format, time_format)
-        )
+        time = contracts.event_time("date", "time", date_format, time_format)
+        linked = computed(linked, {"datetime": time})
     errors = contracts.messages([
         (links.unknown_shape(), "shape is not known"),
         (F.col("datetime").isNull(), "date or time cannot be read"),
@@ -127,9 +127,8 @@ def load_domain(
         tables[kind] = read.rows
         rejects.append(read.rejects)
     schema = tables.pop("event_schema", None)
-    timed = plain.rows.withColumn(
-        "datetime", contracts.event_time("date", "time", date_format, time_format)
-    )
+    time = contracts.event_time("date", "time", date_format, time_format)
+    timed = computed(plain.rows, {"datetime": time})
     both = timed.unionByName(sessions, allowMissingColumns=True)
     domain = link_domain(both, tables, custom_fields, date_format, time_format)
     return replace(

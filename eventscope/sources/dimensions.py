@@ -5,15 +5,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventscope.operators.contracts import DIMENSIONS, Contract, fields_of, type_errors
+from eventscope.operators.once import computed
 from eventscope.sources.payloads import Read, read_documents
 
 
 def _typed(objects: DataFrame, contract: Contract) -> DataFrame:
-    kept = [c for c in objects.columns if c != "item"]
-    return objects.select(
-        *kept, *fields_of(contract, F.col("item")),
-        type_errors(contract, F.col("item")).alias("type_errors"),
-    )
+    return computed(objects, {
+        **fields_of(contract, F.col("item")), "type_errors": type_errors(contract, F.col("item"))
+    }).drop("item")
 
 
 def rows_of(docs: DataFrame, kind: str) -> DataFrame:

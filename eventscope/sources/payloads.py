@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventscope.operators.contracts import (
     EVENT, REJECTS_SCHEMA, Contract, fields_of, type_errors, with_custom_fields,
 )
+from eventscope.operators.once import computed
 
 # Envelope and per-type fields of a raw log event that the session operators use.
 LOG_FIELDS = [
@@ -88,15 +89,14 @@ def events_of(objects: DataFrame, custom_fields: Sequence[tuple[str, str]] = ())
         F.try_variant_get("event", "$", "map<string,variant>"),
         lambda name, _: ~name.isin(contract.columns),
     )
-    kept = [c for c in objects.columns if c != "event"]
-    return objects.select(
-        *kept,
-        *fields_of(contract, F.col("event")),
-        F.transform_values(
-            others, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-        ).alias("extra"),
-        type_errors(contract, F.col("event")).alias("type_errors"),
+    extra = F.transform_values(
+        others, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
     )
+    return computed(objects, {
+        **fields_of(contract, F.col("event")),
+        "extra": extra,
+        "type_errors": type_errors(contract, F.col("event")),
+    }).drop("event")
 
 
 def event_objects(docs: DataFrame) -> DataFrame:
@@ -178,16 +178,14 @@ def read_session_export(spark: SparkSession, paths: Sequence[str]) -> Read:
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """Rows of (pos, raw), with one JSON log event in ``raw``, as a raw log."""
-    return _log_columns(lines.withColumn("session", F.get_json_object("raw", "$.session")))
+    return _log_columns(lines)
 
 
 def _log_columns(log: DataFrame) -> DataFrame:
-    # One parse per line for all fields; values keep their text.
-    schema = "struct<" + ", ".join(f"{f} string" for f in LOG_FIELDS) + ">"
-    parsed = log.withColumn("_fields", F.from_json("raw", schema))
-    return parsed.select(
-        *[c for c in log.columns if c != "raw"], *[F.col(f"_fields.{f}").alias(f) for f in LOG_FIELDS], "raw"
-    )
+    """The fields of ``raw`` as columns; values keep their text. One parse per line."""
+    found = [f for f in ("session", *LOG_FIELDS) if f not in log.columns]
+    schema = "struct<" + ", ".join(f"{f} string" for f in found) + ">"
+    return log.select("*", F.inline(F.array(F.from_json("raw", schema))))
 
 
 def read_session_log(spark: SparkSession, paths: Sequence[str]) -> Read:
