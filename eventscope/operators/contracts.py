@@ -130,8 +130,9 @@ def contract_errors(df: DataFrame, contract: Contract) -> Column:
     if "type_errors" not in df.columns:
         return errors
     # A required field of the wrong type is there, though it reads as null.
-    of_wrong_type = F.transform("type_errors", lambda m: F.concat(_subject(m), F.lit(" is required")))
-    return F.concat("type_errors", F.filter(errors, lambda m: ~F.array_contains(of_wrong_type, m)))
+    found = F.coalesce("type_errors", _none())
+    of_wrong_type = F.transform(found, lambda m: F.concat(_subject(m), F.lit(" is required")))
+    return F.concat(found, F.filter(errors, lambda m: ~F.array_contains(of_wrong_type, m)))
 
 
 def _subject(message: Column) -> Column:
