@@ -125,7 +125,7 @@ _add("session_header", _with(SESSIONS), "\nUNION ALL\n".join(
 
 _add("session_cards", _with(SESSIONS), "SELECT count(*) AS cards FROM per_session")
 
-_add("log_fields", _with(LOG), """
+LOGGED = """
 SELECT session, pos, 'eventid' AS field, 0 AS item, eventid AS value FROM log
 UNION ALL SELECT session, pos, 'session', 0, session FROM log
 UNION ALL SELECT session, pos, 'message', 0, 'm ' || k FROM log WHERE value < 30
@@ -135,7 +135,8 @@ UNION ALL SELECT session, pos, 'username', 0, 'root' FROM log WHERE value >= 10
 UNION ALL SELECT session, pos, 'k', 0, k FROM log
 UNION ALL SELECT session, pos, 'tags', 0, CASE WHEN value < 4 THEN '[]' ELSE eventid END FROM log WHERE value < 20
 UNION ALL SELECT session, pos, 'tags', 1, k FROM log WHERE value >= 4 AND value < 20
-UNION ALL SELECT session, pos, 'timestamp', 0, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') FROM log""")
+UNION ALL SELECT session, pos, 'timestamp', 0, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') FROM log"""
+_add("log_fields", _with(LOG), LOGGED)
 
 _add("field_coverage", _with(LOG), """
 SELECT session, pos,
@@ -341,7 +342,7 @@ SELECT path, count(*) AS uses FROM lineitem JOIN filters ON l_partkey = p_partke
 # Groups
 
 _add("count_located", _with(SPACE), f"""
-SELECT count(*) AS events FROM space WHERE {IN_RANGE} AND type <> 'SHAPE' AND latitude <> '' AND longitude <> ''""")
+SELECT count(*) AS events, 'events' AS unit FROM space WHERE {IN_RANGE} AND type <> 'SHAPE' AND latitude <> '' AND longitude <> ''""")
 
 VALID = "abs(lat) <= 90 AND abs(lon) <= 180"
 LABEL = "location || '$_' || latitude || '_' || longitude"
@@ -544,12 +545,12 @@ _add("project_points", _with(POINTS), "SELECT label, round(x, 9) AS x, round(y,
 def _cells(zooms: str) -> str:
     return POINTS + f""",
 placed AS (
-  SELECT zoom, label, location_id, x, y, CAST(floor(x * (512 * pow(2, zoom) / 30)) AS BIGINT) AS cell_x,
+  SELECT zoom, label, location_id, x, y, lat, lon, CAST(floor(x * (512 * pow(2, zoom) / 30)) AS BIGINT) AS cell_x,
          CAST(floor(y * (512 * pow(2, zoom) / 30)) AS BIGINT) AS cell_y
   FROM points, (SELECT unnest({zooms}) AS zoom)
 ),
 grouped AS (
-  SELECT zoom, cell_x, cell_y, count(*) AS point_count, avg(x) AS mx, avg(y) AS my
+  SELECT zoom, cell_x, cell_y, count(*) AS point_count, avg(x) AS mx, avg(y) AS my, min(lat) AS lat, min(lon) AS lon
   FROM placed GROUP BY zoom, cell_x, cell_y
 ),
 apart AS (
@@ -564,8 +565,8 @@ opened AS (
 
 
 ALL_ZOOMS = "[2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16]"
-CENTRE = """round((mx - 0.5) * 360, 6) AS longitude,
-       round(atan(exp((1 - my * 2) * pi())) * 360 / pi() - 90, 6) AS latitude"""
+CENTRE = """round(CASE WHEN point_count > 1 THEN (mx - 0.5) * 360 ELSE lon END, 6) AS longitude,
+       round(CASE WHEN point_count > 1 THEN atan(exp((1 - my * 2) * pi())) * 360 / pi() - 90 ELSE lat END, 6) AS latitude"""
 
 _add("clusters", _with(_cells(ALL_ZOOMS)), f"""
 SELECT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y, point_count, point_count > 1 AS is_cluster, {CENTRE}, expansion_zoom
@@ -634,3 +635,30 @@ SELECT count(*) AS spans, epoch_us(min(s)) // 1000 AS start_ms, epoch_us(max(e))
 
 _add("event_labels", _with(SPACE), """
 SELECT strftime(datetime, '%d %B, %Y') AS label, count(*) AS events FROM space GROUP BY 1""")
+
+# Flows
+
+_add("map_view", _with(_cells("[3, 8]").replace(
+    f"FROM space WHERE {VALID}",
+    f"FROM space WHERE {VALID} AND {IN_RANGE} AND {BY_FILTER} AND {BY_CATEGORY} AND type <> 'SHAPE'",
+).replace("b.zoom > a.zoom", "b.zoom > a.zoom AND a.zoom IN (3, 8)").replace(
+    "unnest([3, 8])", f"unnest({ALL_ZOOMS})"
+)), f"""
+SELECT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y, point_count, point_count > 1 AS is_cluster, {CENTRE}, expansion_zoom
+FROM opened WHERE zoom IN (3, 8)""")
+
+_add("timeline_view", _with(SPACE), f"""
+SELECT ms // 7776000000 * 7776000000 AS window_ms, category AS track, count(*) AS events
+FROM space WHERE {IN_RANGE} AND {BY_FILTER} AND {BY_CATEGORY} AND type <> 'SHAPE' GROUP BY 1, 2""")
+
+BUYERS = SESSIONS + """,
+buyers AS (SELECT DISTINCT session FROM staged WHERE eventid = 'purchase')"""
+
+_add("card_sections", _with(BUYERS), """
+SELECT session, pos, eventid, nth - 1 AS occurrence, CASE WHEN value < 10 THEN 2 ELSE 1 END AS absent
+FROM staged WHERE session IN (SELECT session FROM buyers)""")
+
+_add("card_values", _with(BUYERS + """,
+fields AS (""" + LOGGED + ")"), """
+SELECT field, count(*) AS values, count(DISTINCT value) AS different
+FROM fields WHERE session IN (SELECT session FROM buyers) GROUP BY field""")

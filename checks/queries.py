@@ -11,6 +11,7 @@ from eventscope.functions.text import snippets
 from eventscope.operators import (
     contracts, groups, hierarchy, links, logfields, selection, sequences, sessions, spatial, timeline,
 )
+from eventscope.plans import flows
 from eventscope.plans.view import View
 from eventscope.sources import payloads
 
@@ -536,7 +537,7 @@ def _extent(df):
 
 @query
 def narrative_extent(spark, sf):
-    return _extent(sequences.narrative_extent(_steps(spark, sf)))
+    return _extent(sequences.narrative_extent(sequences.narrative_rows(t.space_events(spark, sf))))
 
 
 @query
@@ -544,7 +545,7 @@ def narrative_extent_limits(spark, sf):
     from datetime import datetime
 
     limits = (datetime(1993, 6, 1), datetime(2002, 1, 1))
-    return _extent(sequences.narrative_extent(_steps(spark, sf), limits))
+    return _extent(sequences.narrative_extent(_steps(spark, sf), limits, order=["step_idx"]))
 
 
 @query
@@ -768,3 +769,39 @@ def lane_islands(spark, sf):
 def event_labels(spark, sf):
     events = t.space_events(spark, sf)
     return events.groupBy(v.nice_date("datetime").alias("label")).agg(F.count(F.lit(1)).alias("events"))
+
+
+# Flows
+
+
+@query
+def map_view(spark, sf):
+    view = View(RANGE.start, RANGE.end, filters=FILTERS, categories=CATEGORIES)
+    return _rounded(flows.map_view(t.space_events(spark, sf), view, [3, 8]))
+
+
+@query
+def timeline_view(spark, sf):
+    view = View(RANGE.start, RANGE.end, filters=FILTERS, categories=CATEGORIES)
+    counted = flows.timeline_view(t.space_events(spark, sf), view, fixed.ZOOM_LEVELS["3 months"])
+    return counted.select(millis("window_start").alias("window_ms"), "track", "events")
+
+
+def _purchasing(spark, sf):
+    """The selected sessions: those with a purchase."""
+    return built(spark, sf).where(F.col("stage") == "purchase").select("session")
+
+
+@query
+def card_sections(spark, sf):
+    log = sessions.clean_log(payloads.parse_log_lines(t.raw_lines(spark, sf).select("pos", "raw")))
+    sections = flows.card_sections(log, _purchasing(spark, sf), t.field_schema(spark, sf))
+    return sections.select("session", "pos", "eventid", "occurrence", F.size("absent").alias("absent"))
+
+
+@query
+def card_values(spark, sf):
+    values = flows.card_values(t.raw_lines(spark, sf), _purchasing(spark, sf))
+    return values.groupBy("field").agg(
+        F.count(F.lit(1)).alias("values"), F.countDistinct("value").alias("different")
+    )

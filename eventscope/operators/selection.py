@@ -25,9 +25,11 @@ def select_events(events: DataFrame, view: View, day: str | None = None) -> Data
     return events.where(visible(view, day))
 
 
-def count_located(events: DataFrame, view: View) -> DataFrame:
-    """Number of shown events that have coordinates."""
-    return select_events(events, view).where(is_located()).agg(F.count(F.lit(1)).alias("events"))
+def count_located(events: DataFrame, view: View, unit: str = "events") -> DataFrame:
+    """Number of shown events that have coordinates, and what they are: ``unit`` is
+    "attack sessions" when each event stands for a session."""
+    located = select_events(events, view).where(is_located())
+    return located.agg(F.count(F.lit(1)).alias("events")).withColumn("unit", F.lit(unit))
 
 
 def search(events: DataFrame, query: str, columns=tuple(fixed.SEARCH_COLUMNS)) -> DataFrame:

@@ -95,11 +95,12 @@ def marked_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int
 
 
 def narrative_extent(
-    steps: DataFrame,
+    rows: DataFrame,
     limits: tuple[dt.datetime, dt.datetime] | None = None,
     key: str = "narrative_id",
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """Map box and time range of each narrative.
+    """Map box and time range of each narrative, from its rows in any order.
 
     The box holds the located steps and is widened so that the first step, if located,
     is its centre; without a located step the corners stay crossed at +-180. The time
@@ -107,8 +108,8 @@ def narrative_extent(
     """
     lat = F.when(is_located(), to_number("latitude"))
     lon = F.when(is_located(), to_number("longitude"))
-    start_at = F.struct("step_idx", lat.alias("lat"), lon.alias("lon"))
-    groups = steps.groupBy(key).agg(
+    start_at = F.struct(*order, lat.alias("lat"), lon.alias("lon"))
+    groups = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("steps"),
         F.coalesce(F.least(F.min(lat), F.lit(180.0)), F.lit(180.0)).alias("south"),
         F.coalesce(F.greatest(F.max(lat), F.lit(-180.0)), F.lit(-180.0)).alias("north"),

@@ -16,13 +16,16 @@ ZOOMS = range(fixed.MIN_ZOOM, fixed.MAX_ZOOM + 1)
 
 
 def project(df: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
-    """Web-Mercator ``x`` and ``y`` in [0, 1]; rows without valid coordinates go."""
+    """Coordinates as numbers ``lat`` and ``lon``, and Web-Mercator ``x`` and ``y`` in [0, 1];
+    rows without valid coordinates go."""
     lat, lon = to_number(latitude), to_number(longitude)
     sine = F.sin(lat * F.pi() / 180)
     y = 0.5 - 0.25 * F.ln((1 + sine) / (1 - sine)) / F.pi()
     # The poles are at infinity; they go to the edge.
     edge = F.when(lat >= 90, 0.0).when(lat <= -90, 1.0)
     return df.where(has_valid_coordinates(latitude, longitude)).withColumns({
+        "lat": lat,
+        "lon": lon,
         "x": lon / 360 + 0.5,
         "y": F.coalesce(edge, F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))),
     })
@@ -53,7 +56,8 @@ def cluster(
         with_cell(points, max_zoom, radius)
         .groupBy("cell_x", "cell_y")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy")
+            F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+            F.min("lat").alias("lat"), F.min("lon").alias("lon"),
         )
     )
     zoom = F.explode(F.array(*[F.lit(z) for z in zooms])).alias("zoom")
@@ -67,17 +71,21 @@ def cluster(
         F.sum("n").alias("point_count"),
         F.sum("sx").alias("sx"),
         F.sum("sy").alias("sy"),
+        F.min("lat").alias("lat"),
+        F.min("lon").alias("lon"),
         *[f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("fx", "fy")],
     )
+    many = F.col("point_count") > 1
     x, y = F.col("sx") / F.col("point_count"), F.col("sy") / F.col("point_count")
+    centre_lat = F.atan(F.exp((1 - y * 2) * F.pi())) * 360 / F.pi() - 90
     return groups.select(
         "zoom",
         "cell_x",
         "cell_y",
         "point_count",
-        (F.col("point_count") > 1).alias("is_cluster"),
-        ((x - 0.5) * 360).alias("longitude"),
-        (F.atan(F.exp((1 - y * 2) * F.pi())) * 360 / F.pi() - 90).alias("latitude"),
+        many.alias("is_cluster"),
+        F.when(many, (x - 0.5) * 360).otherwise(F.col("lon")).alias("longitude"),
+        F.when(many, centre_lat).otherwise(F.col("lat")).alias("latitude"),
         _expansion_zoom(max_zoom).alias("expansion_zoom"),
     )
 
