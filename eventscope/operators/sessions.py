@@ -23,12 +23,12 @@ _CLOSED = ["duration"]
 
 def clean_log(log: DataFrame) -> DataFrame:
     """Log events with an event id and a readable time; adds ``ts`` and ``ms``."""
+    log = log.where(F.col("eventid") != "")
     if isinstance(log.schema["timestamp"].dataType, T.StringType):
-        ts = F.try_to_timestamp(F.col("timestamp"))
+        log = computed(log, {"ts": F.try_to_timestamp(F.col("timestamp"))})
     else:
-        ts = F.col("timestamp").cast("timestamp")
-    timed = computed(log.where(F.col("eventid") != ""), {"ts": ts})
-    return timed.where(F.col("ts").isNotNull()).withColumn("ms", F.unix_millis("ts"))
+        log = log.withColumn("ts", F.col("timestamp").cast("timestamp"))
+    return log.where(F.col("ts").isNotNull()).withColumn("ms", F.unix_millis("ts"))
 
 
 def stage_number(eventid="eventid", ladder=fixed.STAGES) -> Column:
@@ -57,24 +57,23 @@ def derive_stage(log: DataFrame, keys: Sequence[str] = ("session",), ladder=fixe
     )
 
 
-def _with_columns(df: DataFrame, names) -> DataFrame:
-    """Columns that the log lacks are all null."""
-    missing = {n: F.lit(None).cast("string") for n in names if n not in df.columns}
-    return df.withColumns(missing) if missing else df
-
-
 def _parts(log, connect, closed, ladder) -> list[Column]:
-    order = [F.col("ms"), F.col("pos")]
+    """Each struct is as narrow as the log allows: columns it lacks are not carried."""
+    order = ["ms", "pos"]
     kind = F.col("eventid")
-    record = F.struct(*RECORD_COLUMNS)
+
+    def carried(names):
+        return [n for n in names if n in log.columns]
+
+    record = carried(RECORD_COLUMNS)
     return [
-        F.min(F.struct(*order, "ts", *_FIRST)).alias("first"),
+        F.min(F.struct(*order, "ts", *carried(_FIRST))).alias("first"),
         F.max(F.struct(*order, "ts", "timestamp")).alias("last"),
-        F.min(F.when(kind == connect, F.struct(*order, *_CONNECT))).alias("connect"),
-        F.min(F.when(kind == closed, F.struct(*order, *_CLOSED))).alias("closed"),
+        F.min(F.when(kind == connect, F.struct(*order, *carried(_CONNECT)))).alias("connect"),
+        F.min(F.when(kind == closed, F.struct(*order, *carried(_CLOSED)))).alias("closed"),
         F.min(stage_number(ladder=ladder)).alias("stage_number"),
         F.count(F.lit(1)).alias("event_count"),
-        F.max(record).alias("record"),
+        *([F.max(F.struct(*record)).alias("record")] if record else []),
     ]
 
 
@@ -86,40 +85,42 @@ def session_parts(
     ladder=fixed.STAGES,
 ) -> DataFrame:
     """What a piece of the log says about each session; pieces merge in any order."""
-    log = _with_columns(log, [*_FIRST, *_CONNECT, *_CLOSED, *RECORD_COLUMNS])
     return log.groupBy(*keys).agg(*_parts(log, connect, closed, ladder))
 
 
-def _merging() -> list[Column]:
+def _merging(parts: DataFrame) -> list[Column]:
     return [
         *[F.min(c).alias(c) for c in ("first", "connect", "closed", "stage_number")],
-        F.max("last").alias("last"),
+        *[F.max(c).alias(c) for c in ("last", "record") if c in parts.columns],
         F.sum("event_count").alias("event_count"),
-        F.max("record").alias("record"),
     ]
 
 
 def merge_parts(parts: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
-    return parts.groupBy(*keys).agg(*_merging())
+    return parts.groupBy(*keys).agg(*_merging(parts))
 
 
 def sessions_from_parts(parts: DataFrame, keys: Sequence[str] = ("session",), ladder=fixed.STAGES) -> DataFrame:
     """The session row. An empty text counts as missing, but for the ports."""
+    def field(part: str, name: str) -> Column:
+        carried = part in parts.columns and name in parts.schema[part].dataType.names
+        return F.col(f"{part}.{name}") if carried else F.lit(None).cast("string")
+
     span = (F.col("last.ms") - F.col("first.ms")) / 1000
     kept = [c for c in ("event_ids",) if c in parts.columns]
     return parts.select(
         *keys,
-        F.coalesce(blank_to_null("record.record_src_ip"), blank_to_null("first.src_ip")).alias("src_ip"),
-        *[blank_to_null(f"record.{c}").alias(c) for c in ("location", "latitude", "longitude")],
-        *[blank_to_null(f"first.{c}").alias(c) for c in ("sensor", "uuid", "protocol")],
-        F.col("connect.src_port").alias("src_port"),
-        blank_to_null("connect.dst_ip").alias("dst_ip"),
-        F.col("connect.dst_port").alias("dst_port"),
+        F.coalesce(blank_to_null(field("record", "record_src_ip")), blank_to_null(field("first", "src_ip"))).alias("src_ip"),
+        *[blank_to_null(field("record", c)).alias(c) for c in ("location", "latitude", "longitude")],
+        *[blank_to_null(field("first", c)).alias(c) for c in ("sensor", "uuid", "protocol")],
+        field("connect", "src_port").alias("src_port"),
+        blank_to_null(field("connect", "dst_ip")).alias("dst_ip"),
+        field("connect", "dst_port").alias("dst_port"),
         F.col("first.timestamp").alias("start_timestamp"),
         F.col("last.timestamp").alias("end_timestamp"),
         F.col("first.ts").alias("start_datetime"),
         F.col("last.ts").alias("end_datetime"),
-        F.coalesce(to_number("closed.duration"), span).alias("duration_sec"),
+        F.coalesce(to_number(field("closed", "duration")), span).alias("duration_sec"),
         *kept,
         "event_count",
         stage_name("stage_number", ladder).alias("stage"),
@@ -149,7 +150,7 @@ def build_sessions(
         "eventid",
     )
     parts = by_type.groupBy(*keys).agg(
-        *_merging(),
+        *_merging(by_type),
         # As long as the list of event types, not as the session.
         F.transform(F.array_sort(F.collect_list(shown)), lambda g: g["eventid"]).alias("event_ids"),
     )

@@ -10,6 +10,7 @@ row of ``rejects``.
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventscope.operators.contracts import (
@@ -34,16 +35,19 @@ class Read:
     rejects: DataFrame
 
 
-def existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Paths that name something, and those that do not."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    found, missing = [], []
-    for path in paths:
-        location = jvm.org.apache.hadoop.fs.Path(path)
-        hits = location.getFileSystem(conf).globStatus(location)
-        (found if hits is not None and len(hits) else missing).append(path)
-    return found, missing
+def read_text(spark: SparkSession, paths: Sequence[str], **options) -> tuple[DataFrame | None, list[str]]:
+    """The files as text, and the paths that name nothing."""
+    paths = list(paths)
+    try:
+        return (spark.read.text(paths, **options) if paths else None), []
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if len(paths) == 1:
+        return None, paths
+    alone = {path: read_text(spark, [path], **options)[0] for path in paths}
+    found = [path for path, text in alone.items() if text is not None]
+    return (spark.read.text(found, **options) if found else None), [p for p in paths if p not in found]
 
 
 def missing_rejects(spark: SparkSession, table: str, paths: Sequence[str]) -> DataFrame:
@@ -53,11 +57,11 @@ def missing_rejects(spark: SparkSession, table: str, paths: Sequence[str]) -> Da
 
 def read_documents(spark: SparkSession, paths: Sequence[str], table: str = "events") -> Read:
     """Whole JSON documents as (file, text, doc); unreadable ones are rejects."""
-    found, missing = existing(spark, paths)
+    files, missing = read_text(spark, paths, wholetext=True)
     rejects = missing_rejects(spark, table, missing)
-    if not found:
+    if files is None:
         return Read(spark.createDataFrame([], "file string, text string, doc variant"), rejects)
-    docs = spark.read.text(found, wholetext=True).select(
+    docs = files.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("value").alias("text"),
         F.try_parse_json("value").alias("doc"),
@@ -109,7 +113,11 @@ def event_objects(docs: DataFrame) -> DataFrame:
 
 
 def line_position():
-    """Place of a line in its file, sortable: rows rise within a block, blocks in a file."""
+    """Place of a line in its file, sortable: rows rise within a block, blocks in a file.
+
+    Good for order and within a query. How files are cut into blocks is up to the cluster,
+    so write the events out before matching results of several queries by it.
+    """
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -119,12 +127,12 @@ def line_position():
 
 def read_event_lines(spark: SparkSession, paths: Sequence[str], custom_fields: Sequence[tuple[str, str]] = ()) -> Read:
     """Events in bulk: one JSON object per line."""
-    found, missing = existing(spark, paths)
+    files, missing = read_text(spark, paths)
     rejects = missing_rejects(spark, "events", missing)
-    if not found:
+    if files is None:
         empty = spark.createDataFrame([], "pos struct<file string, block bigint, place bigint>, event variant")
         return Read(events_of(empty, custom_fields), rejects)
-    lines = spark.read.text(found).where(F.trim("value") != "").select(
+    lines = files.where(F.trim("value") != "").select(
         line_position().alias("pos"), F.col("value").alias("text"),
         F.try_parse_json("value").alias("event"),
     )
@@ -190,12 +198,12 @@ def _log_columns(log: DataFrame) -> DataFrame:
 
 def read_session_log(spark: SparkSession, paths: Sequence[str]) -> Read:
     """Raw log in bulk: one JSON log event per line."""
-    found, missing = existing(spark, paths)
+    files, missing = read_text(spark, paths)
     rejects = missing_rejects(spark, "log", missing)
-    if not found:
+    if files is None:
         empty = spark.createDataFrame([], "pos struct<file string, block bigint, place bigint>, raw string")
         return Read(parse_log_lines(empty), rejects)
-    lines = spark.read.text(found).where(F.trim("value") != "").select(
+    lines = files.where(F.trim("value") != "").select(
         line_position().alias("pos"), F.col("value").alias("raw")
     )
     checked = lines.withColumns({"_doc": F.try_parse_json("raw"), "text": F.col("raw")})
