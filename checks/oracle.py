@@ -617,6 +617,22 @@ SELECT CAST(minutes AS INTEGER) AS minutes, ms // (minutes * 60000) * (minutes *
 FROM space, (SELECT CAST(unnest([10512000, 1051200, 129600, 4320, 720, 60]) AS BIGINT) AS minutes)
 GROUP BY 1, 2, 3""")
 
+_add("assign_lanes", _with(SPACE + """,
+span AS (
+  SELECT customer, min(ms) AS s, max(ms) AS e, row_number() OVER (ORDER BY min(ms), min(event_key)) AS n
+  FROM space WHERE latitude = '' AND longitude = '' GROUP BY customer
+),
+laid(n, customer, place, ends) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n, customer, place, list_concat(ends[1:place - 1], [e], ends[place + 1:])
+  FROM (
+    SELECT span.n, span.customer, span.e, ends,
+           CAST(coalesce(list_position(list_transform(ends, lambda x: x < span.s), true), len(ends) + 1) AS BIGINT) AS place
+    FROM laid JOIN span ON span.n = laid.n + 1)
+)"""), """
+SELECT customer AS project, place - 1 AS lane, (place - 1) * 16 AS "offset" FROM laid WHERE n > 0""")
+
 # Lanes needed = greatest number of spans open at one time; ends count as open.
 _add("lanes_used", _with(SESSIONS + """,
 span AS (SELECT session, min(ts) AS s, max(ts) AS e FROM staged GROUP BY session)"""), """

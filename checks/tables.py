@@ -130,7 +130,7 @@ def space_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("event_key"),
         F.col("o_orderkey").alias("pos"),
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"),
-        F.col("o_orderdate").cast("timestamp").alias("datetime"),
+        F.col("o_orderdate").alias("datetime"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"),
         F.col("n_name").alias("location"),
         _latitude().alias("latitude"),

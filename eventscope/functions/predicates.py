@@ -10,7 +10,8 @@ from eventscope.functions.values import column, is_nonlocated, to_number
 
 
 def in_range(start, end, time="datetime", keep_nonlocated=False, day=None) -> Column:
-    """Strictly between two times. ``day`` names a date partition column to prune by."""
+    """Strictly between two times, given as text or as values of the column's own type, so
+    that the scan can use them. ``day`` names a date partition column to prune by."""
     inside = (column(time) > F.lit(start)) & (column(time) < F.lit(end))
     if day is not None:
         inside &= column(day).between(F.lit(_date(start)), F.lit(_date(end)))

@@ -30,7 +30,7 @@ def write_parts(
     closed: str = fixed.CLOSED,
     ladder=fixed.STAGES,
 ):
-    """Start the query that turns a log stream into parts."""
+    """The query that turns a log stream into parts; the caller sets its trigger and starts it."""
 
     def write(batch: DataFrame, number: int) -> None:
         parts = session_parts(clean_log(batch), keys, connect, closed, ladder)
@@ -47,6 +47,7 @@ def sessions_so_far(
 
 
 def compact_parts(spark: SparkSession, folder: str, target: str, keys: Sequence[str] = ("session",)) -> None:
-    """Many small batches as one row per session, in a new folder."""
+    """Many small batches as one row per session, in a new folder. Stop the stream before,
+    and let it go on writing to ``target``."""
     merged = merge_parts(spark.read.parquet(folder).drop("batch"), keys)
     merged.write.mode("overwrite").parquet(f"{target}/batch=-1")

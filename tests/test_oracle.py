@@ -22,9 +22,8 @@ def test_query_equals_sql(spark, db, name):
     assert difference(spark, db, SF_DIR, name) == ""
 
 
-def test_all_but_the_lanes_have_sql():
-    assert set(QUERIES) - set(ORACLE) == {"assign_lanes"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_entry(spark):
