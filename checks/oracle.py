@@ -265,6 +265,13 @@ AND CASE WHEN type = 'SHAPE' THEN coalesce(shape IN ('BUILDING', 'MACHINERY'), f
 
 _add("matches_associations", _with(SPACE), f"SELECT event_key FROM space WHERE {BY_FILTER} AND {BY_CATEGORY}")
 
+_add("with_any_active_filter", _with(SPACE), """
+SELECT event_key FROM space WHERE status_path = 'status/O'
+OR segment_path IN (SELECT 'segment/' || c_mktsegment FROM customer WHERE c_acctbal < -990)""")
+
+_add("with_any_active_category", _with(SPACE), """
+SELECT event_key FROM space WHERE category IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 499900)""")
+
 _add("nonlocated_pass", _with(SPACE), f"""
 SELECT event_key FROM space WHERE (({IN_RANGE}) OR (latitude = '' AND longitude = '')) AND type <> 'SHAPE'""")
 
@@ -577,7 +584,7 @@ SELECT CAST(zoom AS INTEGER) AS zoom, CAST(sum(CASE WHEN point_count > 1 THEN po
 FROM grouped GROUP BY 1""")
 
 _add("cluster_members", _with(_cells("[5]")), """
-SELECT label, cell_x, cell_y, point_count FROM placed JOIN grouped USING (zoom, cell_x, cell_y)""")
+SELECT label, cell_x, cell_y FROM placed""")
 
 _add("expansion_zoom", _with(_cells(ALL_ZOOMS)), """
 SELECT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y, expansion_zoom, CAST(greatest(expansion_zoom + 2, 16) AS INTEGER) AS zoom_to_fly
@@ -596,14 +603,14 @@ SELECT DISTINCT {LABEL} AS label,
        (latitude, longitude) IN (SELECT (latitude, longitude) FROM latest WHERE rn = 1 AND category = '1-URGENT') AS is_selected
 FROM space WHERE {VALID}""")
 
-_add("flag_selected_clusters", _with(_cells("[4]")), """
-SELECT DISTINCT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y
+_add("selected_clusters", _with(_cells("[4]")), """
+SELECT DISTINCT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y, point_count
 FROM placed JOIN grouped USING (zoom, cell_x, cell_y)
 WHERE point_count > 1 AND location_id IN (SELECT event_key FROM space WHERE category = '1-URGENT')""")
 
 _add("cluster_colour_shares", _with(_cells("[4]") + f""",
 members AS (
-  SELECT space.*, cell_x, cell_y FROM space JOIN placed ON {LABEL} = label WHERE {VALID}
+  SELECT space.*, cell_x, cell_y FROM space JOIN placed ON {LABEL} = label
 )"""), _shares("cell_x, cell_y", "members", 3))
 
 # Time

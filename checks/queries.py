@@ -314,6 +314,23 @@ def matches_associations(spark, sf):
     return t.space_events(spark, sf).where(p.matches_associations(FILTERS, CATEGORIES)).select("event_key")
 
 
+@query
+def with_any_active_filter(spark, sf):
+    """Active filters as a table: segments of customers who owe money, and open orders."""
+    owing = t.table(spark, sf, "customer").where(F.col("c_acctbal") < -990)
+    paths_in_use = owing.select(F.concat(F.lit("segment/"), "c_mktsegment"))
+    active = paths_in_use.union(spark.range(1).select(F.lit("status/O"))).distinct()
+    return selection.with_any_active(t.space_events(spark, sf), active).select("event_key")
+
+
+@query
+def with_any_active_category(spark, sf):
+    """Active categories as a table: those with an order of the highest prices."""
+    costly = t.table(spark, sf, "orders").where(F.col("o_totalprice") > 499_900)
+    active = costly.select("o_orderpriority").distinct()
+    return selection.with_any_active(t.space_events(spark, sf), active, fixed.CATEGORY).select("event_key")
+
+
 @query
 def nonlocated_pass(spark, sf):
     return _selected(spark, sf, keep_nonlocated=True).select("event_key")
@@ -665,7 +682,7 @@ def cluster_totals(spark, sf):
 @query
 def cluster_members(spark, sf):
     members = spatial.cluster_members(_points(spark, sf), 5)
-    return members.select("label", "cell_x", "cell_y", "point_count")
+    return members.select("label", "cell_x", "cell_y")
 
 
 @query
@@ -689,10 +706,10 @@ def flag_selected_locations(spark, sf):
 
 
 @query
-def flag_selected_clusters(spark, sf):
+def selected_clusters(spark, sf):
     events = t.space_events(spark, sf)
     selected = events.where(F.col("category") == "1-URGENT")
-    return links.flag_selected_clusters(spatial.cluster_members(_points(spark, sf), 4), selected)
+    return links.selected_clusters(spatial.cluster_members(_points(spark, sf), 4), selected)
 
 
 @query
@@ -718,13 +735,8 @@ def activity(spark, sf):
 def activity_levels(spark, sf):
     """All six widths of the timeline."""
     events = t.space_events(spark, sf)
-    levels = [
-        timeline.activity(events, minutes, track="category").withColumn("minutes", F.lit(minutes))
-        for minutes in fixed.ZOOM_LEVELS.values()
-    ]
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, levels).select(
+    levels = timeline.activity_at(events, list(fixed.ZOOM_LEVELS.values()), track="category")
+    return levels.select(
         "minutes", millis("window_start").alias("window_ms"), "category", "events"
     )
 

@@ -247,6 +247,11 @@ def default_categories(associations: DataFrame) -> DataFrame:
     return by_mode(associations, fixed.CATEGORY).select("title").distinct()
 
 
+def default_shapes(shapes: DataFrame) -> DataFrame:
+    """Shape ids that are active at the start: all."""
+    return shapes.select("id").distinct()
+
+
 def enabled_sites(sites: DataFrame) -> DataFrame:
     number = F.trim("enabled").try_cast("double")
     return sites.where(F.coalesce(number, F.lit(0.0)) != 0)

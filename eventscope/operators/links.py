@@ -210,9 +210,12 @@ def flag_selected_locations(locations: DataFrame, selected: DataFrame) -> DataFr
     )
 
 
-def flag_selected_clusters(members: DataFrame, selected: DataFrame, key: str = "event_key") -> DataFrame:
+def selected_clusters(members: DataFrame, selected: DataFrame, key: str = "event_key") -> DataFrame:
     """Clusters (zoom, cell) that hold a location whose own id is a selected event's."""
-    picked = members.join(
-        selected.select(F.col(key).alias("location_id")), "location_id", "left_semi"
+    picked = selected.select(F.col(key).alias("location_id"), F.lit(True).alias("_picked")).distinct()
+    cells = (
+        members.join(picked, "location_id", "left")
+        .groupBy("zoom", "cell_x", "cell_y")
+        .agg(F.count(F.lit(1)).alias("point_count"), F.max("_picked").alias("_picked"))
     )
-    return picked.where(F.col("point_count") > 1).select("zoom", "cell_x", "cell_y").distinct()
+    return cells.where(F.col("_picked") & (F.col("point_count") > 1)).drop("_picked")

@@ -43,12 +43,11 @@ def field_coverage(log: DataFrame, schema: DataFrame, raw: str = "raw") -> DataF
     }).drop("declared", "_logged")
 
 
-def _text(value: Column) -> Column:
-    """A value as the log shows it; containers and null as JSON."""
-    kind = F.schema_of_variant(value)
-    container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    plain = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("null"))
-    return F.when(container, F.to_json(value)).otherwise(plain)
+def _text(value: Column, json: Column) -> Column:
+    """A value as the log shows it: text without its quotes, anything else as JSON."""
+    return F.when(json.startswith('"'), F.try_variant_get(value, "$", "string")).otherwise(
+        F.coalesce(json, F.lit("null"))
+    )
 
 
 def explode_fields(log: DataFrame, raw: str = "raw", keys: Sequence[str] = ("session", "pos")) -> DataFrame:
@@ -57,15 +56,10 @@ def explode_fields(log: DataFrame, raw: str = "raw", keys: Sequence[str] = ("ses
         *keys,
         F.explode(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")).alias("field", "_v"),
     )
-    is_list = F.schema_of_variant("_v").startswith("ARRAY")
-    items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), _item_text)
-    values = (
-        F.when(is_list & (F.size(items) == 0), F.array(F.lit("[]")))
-        .when(is_list, items)
-        .otherwise(F.array(_text(F.col("_v"))))
+    json = F.to_json("_v")
+    items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda i: _text(i, F.to_json(i)))
+    values = F.when(json.startswith("["), items).otherwise(F.array(_text(F.col("_v"), json)))
+    # Only an empty list has no value.
+    return fields.select(*keys, "field", F.posexplode_outer(values).alias("item", "value")).withColumns(
+        {"item": F.coalesce("item", F.lit(0)), "value": F.coalesce("value", F.lit("[]"))}
     )
-    return fields.select(*keys, "field", F.posexplode(values).alias("item", "value"))
-
-
-def _item_text(item: Column) -> Column:
-    return F.when(item.isNull(), F.lit("null")).otherwise(_text(item))

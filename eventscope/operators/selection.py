@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.functions import predicates as p
+from eventscope.functions.paths import path_text
 from eventscope.functions.values import is_located
 from eventscope.plans.view import View
 
@@ -32,6 +33,21 @@ def count_located(events: DataFrame, view: View, unit: str = "events") -> DataFr
     return located.agg(F.count(F.lit(1)).alias("events")).withColumn("unit", F.lit(unit))
 
 
+def with_any_active(
+    events: DataFrame, active: DataFrame, mode: str = fixed.FILTER, key: str = "event_key"
+) -> DataFrame:
+    """Events that carry any active filter path or category title, for sets too long to
+    list: ``active`` has one column with the paths or titles."""
+    mine = F.filter("associations", lambda a: a["mode"] == mode)
+    if mode == fixed.FILTER:
+        names = F.transform(mine, lambda a: path_text(a["filter_paths"]))
+    else:
+        names = F.transform(mine, lambda a: a["title"])
+    tags = events.select(key, F.explode(names).alias("_name"))
+    wanted = active.toDF("_name")
+    return events.join(tags.join(wanted, "_name", "left_semi").select(key), key, "left_semi")
+
+
 def search(events: DataFrame, query: str, columns=tuple(fixed.SEARCH_COLUMNS)) -> DataFrame:
     return events.where(p.matches_text(query, columns))
 

@@ -118,10 +118,8 @@ def cluster_totals(clusters: DataFrame) -> DataFrame:
 
 
 def cluster_members(points: DataFrame, zoom: int, radius: int = fixed.CLUSTER_RADIUS) -> DataFrame:
-    """Locations with their cell at a zoom and the number of locations in it."""
-    placed = with_cell(points, zoom, radius)
-    counts = placed.groupBy("zoom", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("point_count"))
-    return placed.join(counts, ["zoom", "cell_x", "cell_y"])
+    """Locations with the cell they are in at a zoom: join clusters on zoom and cell."""
+    return with_cell(points, zoom, radius)
 
 
 def clusters_in_view(clusters: DataFrame, west, south, east, north, zoom: int) -> DataFrame:

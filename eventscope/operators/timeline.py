@@ -1,6 +1,7 @@
 """Density of the timeline, and the lanes of project spans."""
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -19,6 +20,22 @@ def activity(events: DataFrame, minutes: int, track: str = "track", time: str =
     )
 
 
+def activity_at(
+    events: DataFrame, widths: Sequence[int], track: str = "track", time: str = "datetime"
+) -> DataFrame:
+    """Events per track at several window widths in minutes. Events are counted once, in
+    windows that fit into all widths; the wider ones are added up from those."""
+    fine = activity(events, math.gcd(*widths), track, time)
+    minutes = F.explode(F.array(*[F.lit(w) for w in widths])).alias("minutes")
+    width = F.col("minutes").cast("long") * 60_000
+    start = F.floor(F.unix_millis("window_start") / width) * width
+    return (
+        fine.select("*", minutes)
+        .groupBy("minutes", F.timestamp_millis(start).alias("window_start"), track)
+        .agg(F.sum("events").alias("events"))
+    )
+
+
 def activity_by_label(events: DataFrame, label: str, **options) -> DataFrame:
     return activity(events, fixed.ZOOM_LEVELS[label], **options)
 

@@ -287,12 +287,14 @@ def test_every_zoom_counts_every_point_once(points):
     clusters = spatial.cluster(points).cache()
     sums = {r.zoom: r.n for r in clusters.groupBy("zoom").agg(F.sum("point_count").alias("n")).collect()}
     assert sums == {z: 403 for z in range(2, 17)}
-    finer = spatial.cluster_members(points, 9).select("label", "point_count").collect()
-    assert len(finer) == 403
-    cells = clusters.where("zoom = 9")
-    assert sorted(r.point_count for r in cells.collect() for _ in range(r.point_count)) == sorted(r.point_count for r in finer)
+    members = spatial.cluster_members(points, 9)
+    assert members.count() == members.select("label").distinct().count() == 403
+    counted = members.groupBy("zoom", "cell_x", "cell_y").count().collect()
+    assert {tuple(r) for r in counted} == {
+        tuple(r) for r in clusters.where("zoom = 9").select("zoom", "cell_x", "cell_y", "point_count").collect()
+    }
     in_clusters = {r.zoom: r.points_in_clusters for r in spatial.cluster_totals(clusters).collect()}
-    assert in_clusters[9] == sum(1 for r in finer if r.point_count > 1)
+    assert in_clusters[9] == sum(r["count"] for r in counted if r["count"] > 1)
 
 
 def test_single_point_is_its_own_centre(points):
@@ -317,7 +319,7 @@ def test_expansion_zoom_by_counting_cells(points):
 def test_selected_clusters_and_view(spark, points):
     members = spatial.cluster_members(points, 4)
     selected = spark.createDataFrame([(0,)], "event_key int")
-    chosen = links.flag_selected_clusters(members, selected).collect()
+    chosen = links.selected_clusters(members, selected).collect()
     home = members.where("label = 'l0'").collect()[0]
     assert [(r.cell_x, r.cell_y) for r in chosen] == [(home.cell_x, home.cell_y)]
     shown = spatial.clusters_in_view(spatial.cluster(points, [4]), 1, 47, 3, 49, 4).collect()
@@ -370,6 +372,23 @@ def test_activity(spark):
     assert found == {(minutes(0), "a"): 2, (minutes(60), "a"): 1, (minutes(60), "b"): 1}
 
 
+def test_activity_at_several_widths(spark):
+    random.seed(4)
+    rows = [(minutes(random.randrange(10_000)), random.choice("ab")) for _ in range(200)]
+    df = spark.createDataFrame(rows, "datetime timestamp, track string")
+    got = timeline.activity_at(df, [90, 60, 720]).collect()
+    for width in (90, 60, 720):
+        alone = {tuple(r) for r in timeline.activity(df, width).collect()}
+        assert {(r.window_start, r.track, r.events) for r in got if r.minutes == width} == alone
+
+
+def test_nothing_in_nothing_out(spark):
+    spans = spark.createDataFrame([], "first_key int, start timestamp, end timestamp")
+    assert timeline.assign_lanes(spans).count() == 0
+    points = spark.createDataFrame([], "label string, latitude string, longitude string")
+    assert spatial.cluster(spatial.project(points)).count() == 0
+
+
 def test_saved_view_is_put_in_order():
     view = View.saved((minutes(5), minutes(1)), filters=("a",))
     assert (view.start, view.end, view.filters) == (minutes(1), minutes(5), ("a",))
