@@ -18,10 +18,17 @@ def quote(query: str) -> str:
 
 
 def snippet_pattern(query: str) -> str:
-    return (
-        r"(([^ ]* ){0,%d}[a-zA-Z]*%s[a-zA-Z]*( [^ ]*){0,%d})"
-        % (WORDS_BEFORE, quote(query.lower()), WORDS_AFTER)
+    """A hit with its words in group 1, or else one word to step over.
+
+    Where no hit is in reach of a word, none is in reach of the rest of that word, unless
+    the hit begins in it. Stepping over it whole saves trying each of its letters; so does
+    not giving back what cannot match otherwise (``*+``).
+    """
+    query = quote(query.lower())
+    hit = r"((?:[^ ]*+ ){0,%d}[a-zA-Z]*%s[a-zA-Z]*+(?: [^ ]*+){0,%d}+)" % (
+        WORDS_BEFORE, query, WORDS_AFTER
     )
+    return hit + r"|(?![^ ]*%s)[^ ]*+ " % query
 
 
 def _near_hits(text: Column, query: str) -> Column:
@@ -49,6 +56,7 @@ def snippets(text, query: str) -> Column:
     text = column(text)
     low = F.lower(text)
     hits = F.regexp_extract_all(_near_hits(low, query), F.lit(snippet_pattern(query)), F.lit(1))
+    hits = F.filter(hits, lambda hit: hit != "")
     first_words = F.regexp_extract(text, r"^(([^ ]* ){0,%d})" % WORDS_OF_LINE, 1)
     return F.when(
         low.contains(query.lower()), F.transform(hits, lambda hit: F.concat(F.lit("..."), hit))

@@ -56,8 +56,13 @@ def explode_fields(log: DataFrame, raw: str = "raw", keys: Sequence[str] = ("ses
         *keys,
         F.explode(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")).alias("field", "_v"),
     )
-    json = F.to_json("_v")
-    items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda i: _text(i, F.to_json(i)))
+    fields = fields.withColumn("_json", F.to_json("_v"))
+    json = F.col("_json")
+    listed = F.transform(
+        F.try_variant_get("_v", "$", "array<variant>"),
+        lambda i: F.struct(i.alias("v"), F.to_json(i).alias("json")),
+    )
+    items = F.transform(listed, lambda i: _text(i["v"], i["json"]))
     values = F.when(json.startswith("["), items).otherwise(F.array(_text(F.col("_v"), json)))
     # Only an empty list has no value.
     return fields.select(*keys, "field", F.posexplode_outer(values).alias("item", "value")).withColumns(
