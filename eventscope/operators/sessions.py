@@ -193,8 +193,10 @@ def sessions_to_events(
     time_format: str = fixed.TIME_FORMAT,
     colours: dict[str, str] = fixed.STAGE_COLOURS,
     key: str = "session",
+    kept: Sequence[str] = (),
 ) -> DataFrame:
-    """One event per session; ``sessions`` must have its ``event_ids``."""
+    """One event per session; ``sessions`` must have its ``event_ids``. ``kept`` names
+    further columns to pass on."""
     source = F.when(
         F.col("src_port").isNotNull(),
         F.concat(F.coalesce("src_ip", F.lit("null")), F.lit(":"), F.col("src_port").cast("string")),
@@ -208,6 +210,7 @@ def sessions_to_events(
         palette = F.when(F.col("stage") == stage, colour).otherwise(palette)
     blank = F.lit("")
     return sessions.select(
+        *kept,
         F.col(key).alias("id"),
         F.col(key).alias("civ_id"),
         F.concat_ws(" ", key, source, target, "protocol").alias("description"),
@@ -229,7 +232,8 @@ def sessions_to_events(
 
 def log_to_events(log: DataFrame, keys: Sequence[str] = ("session",), key: str = "session", **options) -> DataFrame:
     """Log to events in one go; sort by ``start_datetime`` only when writing them out."""
-    return sessions_to_events(build_sessions(clean_log(log), keys, event_ids=True), key=key, **options)
+    built = build_sessions(clean_log(log), keys, event_ids=True)
+    return sessions_to_events(built, key=key, kept=[k for k in keys if k != key], **options)
 
 
 def session_header(sessions: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:

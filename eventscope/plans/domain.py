@@ -11,7 +11,9 @@ from eventscope.operators import contracts, links
 from eventscope.operators.once import computed
 from eventscope.operators.sessions import log_to_events
 from eventscope.sources.dimensions import read_dimension
-from eventscope.sources.payloads import read_events, read_session_export
+from eventscope.sources.payloads import (
+    read_event_lines, read_events, read_session_export, read_session_log,
+)
 
 DIMENSIONS = ("associations", "sources", "sites", "regions", "shapes")
 ASSOCIATION_FIELDS = ["id", "title", "desc", "mode", "filter_paths"]
@@ -100,37 +102,57 @@ def link_domain(
     return Domain(events=linked, rejects=reduce(DataFrame.unionByName, rejects), **good)
 
 
+def _session_events(log: DataFrame, keys: Sequence[str], **formats) -> DataFrame:
+    """Events of a raw log, told apart by what their sessions are told apart by."""
+    events = log_to_events(log, keys, **formats)
+    nothing = F.lit(0).cast("long")
+    return events.withColumns({
+        "pos": F.struct(
+            F.concat_ws("#", *keys).alias("file"), nothing.alias("block"), nothing.alias("place")
+        ),
+        "datetime": F.col("start_datetime"),
+    }).drop("start_datetime", *[k for k in keys if k != "session"])
+
+
 def load_domain(
     spark: SparkSession,
-    events: Sequence[str],
-    dimensions: dict[str, Sequence[str]],
+    events: Sequence[str] = (),
+    dimensions: dict[str, Sequence[str]] | None = None,
     custom_fields: Sequence[tuple[str, str]] = (),
     date_format: str = fixed.DATE_FORMAT,
     time_format: str = fixed.TIME_FORMAT,
+    event_lines: Sequence[str] = (),
+    log_lines: Sequence[str] = (),
 ) -> Domain:
-    """Read all payloads and link them. Files are event arrays or session exports; each is
-    told apart by its content."""
-    plain = read_events(spark, events, custom_fields)
-    export = read_session_export(spark, events)
-    from_log = log_to_events(
-        export.rows, ["file", "session"], date_format=date_format, time_format=time_format
-    )
-    sessions = from_log.withColumns({
-        "pos": F.struct(
-            F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.xxhash64("civ_id").alias("place")
-        ),
-        "datetime": F.col("start_datetime"),
-    }).drop("start_datetime")
-    tables, rejects = {}, [plain.rejects]
-    for kind, paths in dimensions.items():
+    """Read all payloads and link them.
+
+    ``events`` are JSON documents, event arrays or session exports, told apart by their
+    content. Bulk data comes as JSON Lines: ``event_lines`` and ``log_lines``.
+    """
+    formats = {"date_format": date_format, "time_format": time_format}
+    time = contracts.event_time("date", "time", date_format, time_format)
+    parts, tables, rejects = [], {}, []
+    if events:
+        plain = read_events(spark, events, custom_fields)
+        export = read_session_export(spark, events)
+        parts.append(computed(plain.rows, {"datetime": time}))
+        parts.append(_session_events(export.rows, ["file", "session"], **formats))
+        rejects.append(plain.rejects)
+    if event_lines:
+        lines = read_event_lines(spark, event_lines, custom_fields)
+        parts.append(computed(lines.rows, {"datetime": time}))
+        rejects.append(lines.rejects)
+    if log_lines:
+        log = read_session_log(spark, log_lines)
+        parts.append(_session_events(log.rows, ["session"], **formats))
+        rejects.append(log.rejects)
+    for kind, paths in (dimensions or {}).items():
         read = read_dimension(spark, kind, paths)
         tables[kind] = read.rows
         rejects.append(read.rejects)
     schema = tables.pop("event_schema", None)
-    time = contracts.event_time("date", "time", date_format, time_format)
-    timed = computed(plain.rows, {"datetime": time})
-    both = timed.unionByName(sessions, allowMissingColumns=True)
-    domain = link_domain(both, tables, custom_fields, date_format, time_format)
+    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    domain = link_domain(everything, tables, custom_fields, date_format, time_format)
     return replace(
         domain, event_schema=schema, rejects=reduce(DataFrame.unionByName, [domain.rejects, *rejects])
     )

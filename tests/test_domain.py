@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 
@@ -47,6 +48,22 @@ def test_events_are_linked(domain):
     assert full.session == "full" and a.session is None
 
 
+def test_bulk_lines_give_the_same_events(spark, tmp_path):
+    def lines(name, values):
+        path = tmp_path / name
+        path.write_text("\n".join(map(json.dumps, values)))
+        return [str(path)]
+
+    log = [e for s in ("full", "tie") for e in EXPORT[s]["events"]]
+    domain = load_domain(spark, event_lines=lines("e.jsonl", PLAIN), log_lines=lines("l.jsonl", log))
+    events = by_id(domain.events)
+    assert set(events) == {"a", "full", "tie"}
+    assert events["full"].category == c("command.input") and events["full"].latitude == ""
+    assert domain.rejects.count() == 8
+    keys = [r.event_key for r in domain.events.collect()]
+    assert len(set(keys)) == 3
+
+
 def test_rejects_say_why(domain):
     found = {r.id: r.message for r in domain.rejects.where("table = 'events'").collect()}
     assert found == {
