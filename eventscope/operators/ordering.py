@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from eventscope.session import use_checkpoint_folder
 
 HOT_ROWS = 5_000_000
+# Up to this many hot keys are listed; more stay a table that is joined.
+LISTED_GROUPS = 10_000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
@@ -46,9 +48,12 @@ def numbered(
     keys, order = list(keys), list(order)
 
     hot = hot_groups(df, keys, hot_rows)
-    if hot.isEmpty():
+    few = hot.limit(LISTED_GROUPS + 1).collect()
+    if not few:
         out = _by_window(df, keys, order, index, total, following, preceding)
     else:
+        if len(few) <= LISTED_GROUPS:
+            hot = F.broadcast(df.sparkSession.createDataFrame(few, hot.schema))
         same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
         rows, hot = df.alias("l"), hot.alias("h")
         cold_part = _by_window(
