@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.functions.values import blank_to_null, decimal_point, event_time
+from eventscope.operators.joining import lookup_join
 from eventscope.operators.once import computed
 
 REJECTS_SCHEMA = "table string, id string, message string, row_json string"
@@ -192,11 +193,7 @@ def parse_event_time(
 
 
 def duplicate_keys(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
-    """Second and later rows of each key.
-
-    The first place of each key is an aggregate, so only its small table meets the rows
-    in the join; a key with very many rows is the join's skewed side, which Spark splits.
-    """
+    """Second and later rows of each key: those after the key's first place."""
     keys = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     first = (
@@ -205,7 +202,7 @@ def duplicate_keys(df: DataFrame, key: str | Sequence[str], order: str | Sequenc
         .where(F.col("_n") > 1)
         .drop("_n")
     )
-    return df.join(first, keys).where(F.struct(*order) > F.col("_first")).drop("_first")
+    return lookup_join(df, first, keys).where(F.struct(*order) > F.col("_first")).drop("_first")
 
 
 def repeated_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:

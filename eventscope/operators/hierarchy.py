@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from eventscope.functions.paths import ancestors, parent, path_leaf, path_prefixes, path_text
+from eventscope.operators.joining import lookup_join
 
 
 def path_tree(filters: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def sibling_counts(tree: DataFrame) -> DataFrame:
     """Per node, how many others have its parent; the top level has none."""
     below = tree.where(F.col("parent").isNotNull())
     counts = below.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
-    return tree.join(counts, "parent", "left").select(
+    return lookup_join(tree, counts, "parent", "left").select(
         "path", "parent", F.coalesce(F.col("_n") - 1, F.lit(0)).alias("siblings")
     )
 

@@ -1,0 +1,41 @@
+"""Joining rows to a table that has one row per key.
+
+Spark splits the skewed side of a join only when both sides were shuffled for it. Next to
+an aggregate by the same key it does not, so hot keys are taken out here: there are few,
+their part of the table is broadcast, and their rows stay where they are.
+"""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+from eventscope.operators.ordering import HOT_ROWS, LISTED_GROUPS, hot_groups
+
+# A table of up to this many rows is broadcast; the size is counted first.
+SMALL_TABLE = 20_000
+
+
+def lookup_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    small_table: int = SMALL_TABLE,
+) -> DataFrame:
+    """``rows.join(table, on, how)`` for inner, left and left_semi, whatever the skew."""
+    on = [on] if isinstance(on, str) else list(on)
+    if table.limit(small_table + 1).count() <= small_table:
+        return rows.join(F.broadcast(table), on, how)
+    hot = hot_groups(rows, on, hot_rows)
+    few = hot.limit(LISTED_GROUPS + 1).collect()
+    if not few:
+        return rows.join(table, on, how)
+    if len(few) <= LISTED_GROUPS:
+        hot = F.broadcast(rows.sparkSession.createDataFrame(few, hot.schema))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in on]
+    rows, hot = rows.alias("l"), hot.alias("h")
+    cold = rows.join(hot, same, "left_anti").join(table, on, how)
+    # One row per hot key, and at most (rows / hot_rows) of those.
+    hot_table = F.broadcast(table.alias("l").join(hot, same, "left_semi"))
+    return cold.unionByName(rows.join(hot, same, "left_semi").join(hot_table, on, how))

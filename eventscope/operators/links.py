@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope.operators.contracts import messages, split_by_errors
+from eventscope.operators.joining import lookup_join
 
 # A lookup table up to this size is put into the plan as a map. Map keys are searched one
 # by one, so a longer table is better joined.
@@ -54,8 +55,9 @@ def resolve_refs(
         return df.withColumn(into, F.coalesce(found, F.array().cast(_array_type(table, fields))))
 
     objects = table.select(F.col(key).alias("_ref"), F.struct(*fields).alias("_object"))
-    parts = df.select(row_key, F.posexplode(refs).alias("_place", "_ref")).join(
-        objects, "_ref", "left" if keep_unknown else "inner"
+    parts = lookup_join(
+        df.select(row_key, F.posexplode(refs).alias("_place", "_ref")),
+        objects, "_ref", "left" if keep_unknown else "inner",
     )
     # As long as the row's own list.
     gathered = parts.groupBy(row_key).agg(
@@ -87,9 +89,9 @@ def attach_sources(df: DataFrame, sources: DataFrame, key: str = "source_id", **
 def join_shape(df: DataFrame, shapes: DataFrame) -> DataFrame:
     """Adds the shape row that ``shape`` names as ``shape_row``; null if there is none."""
     known = shapes.select(
-        F.col("id").alias("_shape_id"), F.struct("id", "title", "shape", "colour").alias("shape_row")
+        F.col("id").alias("shape"), F.struct("id", "title", "shape", "colour").alias("shape_row")
     )
-    return df.join(known, df["shape"] == known["_shape_id"], "left").drop("_shape_id")
+    return lookup_join(df, known, "shape", "left")
 
 
 def unknown_shape() -> Column:
@@ -108,8 +110,8 @@ def coevents(df: DataFrame, selected: DataFrame, time: str = "datetime", key: st
     """Events at an instant at which a selected event happened, each once, with
     ``is_selected``. For one selected event these are itself and its co-events."""
     chosen = selected.select(F.col(key).alias("_key"), F.col(time).alias("_time")).distinct()
-    instants = chosen.select(F.col("_time").alias("_instant")).distinct()
-    at = df.join(instants, df[time] == instants["_instant"], "left_semi")
+    instants = chosen.select(F.col("_time").alias(time)).distinct()
+    at = lookup_join(df, instants, time, "left_semi")
     keys = chosen.select("_key", F.lit(True).alias("is_selected"))
     return (
         at.join(keys, at[key] == keys["_key"], "left")
@@ -163,7 +165,7 @@ def neighbourhood(df: DataFrame, anchors: DataFrame, minutes: int, time: str = "
         | F.coalesce(F.col("_after") - F.col("_ms") < reach, F.lit(False))
     )
     return (
-        rows.join(seen, "_bucket").where(near).drop("_bucket", "_ms", "_before", "_own", "_after")
+        lookup_join(rows, seen, "_bucket").where(near).drop("_bucket", "_ms", "_before", "_own", "_after")
     )
 
 
@@ -172,8 +174,8 @@ def by_keys(df: DataFrame, keys: DataFrame, key: str = "session") -> DataFrame:
 
     ``list_pos`` holds the list's order, to sort by when showing the rows.
     """
-    wanted = keys.select(F.col("pos").alias("list_pos"), F.col(key).alias("_key"))
-    return df.join(wanted, df[key] == wanted["_key"]).drop("_key")
+    wanted = keys.select(F.col("pos").alias("list_pos"), F.col(key))
+    return lookup_join(wanted, df, key)
 
 
 def key_list(spark, keys: Sequence[str], key: str = "session") -> DataFrame:
@@ -190,12 +192,12 @@ def _filter_paths(filters: DataFrame, key: str, value: str) -> DataFrame:
 
 def paths_to_ids(paths: DataFrame, filters: DataFrame) -> DataFrame:
     """Add the filter ``id`` to rows with a ``path``; unknown paths go."""
-    return paths.join(_filter_paths(filters, "path", "id"), "path").where(F.col("id") != "")
+    return lookup_join(paths, _filter_paths(filters, "path", "id"), "path").where(F.col("id") != "")
 
 
 def ids_to_paths(ids: DataFrame, filters: DataFrame) -> DataFrame:
     """Add the ``path`` to rows with a filter ``id``; unknown ids go."""
-    return ids.join(_filter_paths(filters, "id", "path"), "id")
+    return lookup_join(ids, _filter_paths(filters, "id", "path"), "id")
 
 
 def only_in_narrative(df: DataFrame, steps: DataFrame, key: str = "event_key") -> DataFrame:
@@ -205,7 +207,7 @@ def only_in_narrative(df: DataFrame, steps: DataFrame, key: str = "event_key") -
 def flag_selected_locations(locations: DataFrame, selected: DataFrame) -> DataFrame:
     """Locations with ``is_selected``: a selected event has the same coordinates."""
     at = selected.select("latitude", "longitude").distinct().withColumn("is_selected", F.lit(True))
-    return locations.join(at, ["latitude", "longitude"], "left").withColumn(
+    return lookup_join(locations, at, ["latitude", "longitude"], "left").withColumn(
         "is_selected", F.coalesce("is_selected", F.lit(False))
     )
 

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
+from eventscope.operators.joining import lookup_join
 from eventscope.operators.once import computed
 
 _HEADER = [*fixed.ENVELOPE, "datetime"]
@@ -24,7 +25,7 @@ def field_coverage(log: DataFrame, schema: DataFrame, raw: str = "raw") -> DataF
     The header's fields are left out.
     """
     log = computed(log, {"_logged": F.json_object_keys(raw)})
-    log = log.join(declared_fields(schema), "eventid", "left")
+    log = lookup_join(log, declared_fields(schema), "eventid", "left")
     logged = F.col("_logged")
     header = F.array(*[F.lit(f) for f in [*_HEADER, *_PLACED]])
     declared = F.coalesce("declared", F.array().cast("array<string>"))

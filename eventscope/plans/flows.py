@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from eventscope.operators import groups, links, logfields, selection, sessions, spatial, timeline
+from eventscope.operators.joining import lookup_join
 from eventscope.plans.view import View
 
 
@@ -30,7 +31,7 @@ def project_lanes(events: DataFrame, view: View, project: str, lane_size: int =
 
 def card_log(log: DataFrame, keys: DataFrame, key: str = "session") -> DataFrame:
     """Raw log of the selected sessions only."""
-    return log.join(keys.select(key).distinct(), key, "left_semi")
+    return lookup_join(log, keys.select(key).distinct(), key, "left_semi")
 
 
 def card_sections(log: DataFrame, keys: DataFrame, schema: DataFrame, key: str = "session") -> DataFrame:

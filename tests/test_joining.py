@@ -1,0 +1,30 @@
+import random
+
+import pytest
+
+from eventscope.operators.joining import lookup_join
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("small_table, hot_rows", [(1000, 10), (0, 10), (0, 10_000)])
+def test_equals_the_plain_join(spark, how, small_table, hot_rows):
+    random.seed(6)
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 == 0 else f"k{random.randrange(60)}", i % 2, i) for i in range(300)]
+    table = [(f"k{i}", n, i) for i in range(0, 60, 2) for n in (0, 1)] + [("hot", 1, -1), (None, 0, -2)]
+    left = spark.createDataFrame(rows, "k string, n int, id int")
+    right = spark.createDataFrame(table, "k string, n int, v int")
+    got = lookup_join(left, right, ["k", "n"], how, hot_rows, small_table)
+    expected = left.join(right, ["k", "n"], how)
+    assert got.columns == expected.columns
+    def plain(df):
+        return sorted(map(repr, df.collect()))
+
+    assert plain(got) == plain(expected)
+
+
+def test_hot_rows_are_not_shuffled(spark):
+    left = spark.range(200).selectExpr("if(id % 3 = 0, 'hot', string(id)) k", "id")
+    right = left.groupBy("k").count()
+    plan = lookup_join(left, right, "k", hot_rows=50, small_table=0)._jdf.queryExecution().optimizedPlan().toString()
+    hot_side = plan[plan.index("Union"):].split("Join Inner")[-1]
+    assert "strategy=broadcast" in plan and "LeftSemi" in hot_side
