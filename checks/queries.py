@@ -1,6 +1,7 @@
 """One query per operator, each over the whole of its tables."""
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -559,8 +560,6 @@ def narrative_extent(spark, sf):
 
 @query
 def narrative_extent_limits(spark, sf):
-    from datetime import datetime
-
     limits = (datetime(1993, 6, 1), datetime(2002, 1, 1))
     return _extent(sequences.narrative_extent(_steps(spark, sf), limits, order=["step_idx"]))
 
@@ -579,9 +578,7 @@ def conversation_steps(spark, sf):
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_key"),
         "turn", F.lit("").alias("latitude"), F.lit("").alias("longitude"),
     )
-    from eventscope.operators.ordering import HOT_ROWS
-
-    steps = sequences._steps(turns, ["turn"], HOT_ROWS)
+    steps = sequences.steps_in_order(turns, ["turn"])
     return steps.select("narrative_id", "event_key", "step_idx", "steps", F.col("next.event_key").alias("next_key"))
 
 

@@ -13,8 +13,10 @@ from eventscope.operators.ordering import HOT_ROWS, numbered
 ORDER = ["datetime", "pos"]
 
 
-def _steps(rows: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
-    """Steps with place, total, and the next step's end of the leg."""
+def steps_in_order(
+    rows: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Rows with a ``narrative_id`` as steps with place, total, and the next step's end of the leg."""
     here = F.struct("event_key", "latitude", "longitude")
     return numbered(
         rows, ["narrative_id"], order,
@@ -34,7 +36,7 @@ def narrative_rows(events: DataFrame) -> DataFrame:
 
 def narrative_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The steps of every narrative that has any."""
-    return _steps(narrative_rows(events), order, hot_rows)
+    return steps_in_order(narrative_rows(events), order, hot_rows)
 
 
 def narrative_from_filters(
@@ -42,7 +44,7 @@ def narrative_from_filters(
 ) -> DataFrame:
     """One narrative of all events that carry any of the filter paths, named after them."""
     chosen = events.where(matches_filters(paths)) if paths else events.limit(0)
-    return _steps(chosen.withColumn("narrative_id", F.lit("-".join(paths))), order, hot_rows)
+    return steps_in_order(chosen.withColumn("narrative_id", F.lit("-".join(paths))), order, hot_rows)
 
 
 def step_of(steps: DataFrame, selected: DataFrame, key: str = "event_key") -> DataFrame:
@@ -91,7 +93,7 @@ def marked_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int
         "*", F.posexplode(F.transform(stories, lambda a: a["id"])).alias("_place", "narrative_id")
     ).withColumn("step_style", F.get("narrative___stepStyles", F.col("_place")))
     marked = styled.where(~F.col("step_style").eqNullSafe("None")).drop("_place")
-    return _steps(marked, order, hot_rows)
+    return steps_in_order(marked, order, hot_rows)
 
 
 def narrative_extent(
