@@ -3,9 +3,12 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe
+from eventscope.llm import bpe, packing
 from eventscope.llm.frames import small_batches, table, text_or_empty
 
+# Tokens of a training sequence.
+SEQUENCE = 2048
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*columns)
@@ -23,8 +26,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    cut = packing.pieces(documents(spark, sf_dir, "doc_id", "text"), definition, SEQUENCE)
+    return packing.pack(cut, SEQUENCE)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_packing": op5_packing,
 }
 ORACLE: dict[str, str] = {}
 
