@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, packing
+from eventscope.llm import bpe, exact, packing
 from eventscope.llm.frames import small_batches, table, text_or_empty
 
 # Tokens of a training sequence.
@@ -33,11 +33,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, SEQUENCE)
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = documents(spark, sf_dir, "doc_id", "text")
+    return exact.exact_groups(texts).select(
+        "doc_id", "keep_id", "group_size", "kept",
+        F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_packing": op5_packing,
+    "op7_exact_dedup": op7_exact_dedup,
+}
+# Lower case for A-Z only, as DuckDB's lower() also turns other letters.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE = {
+    "op7_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+        FROM t WINDOW same AS (PARTITION BY norm)
+    """,
 }
-ORACLE: dict[str, str] = {}
 
 
 def prepared(query):
