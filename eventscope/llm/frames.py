@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eventscope.session import use_checkpoint_folder
@@ -50,6 +50,3 @@ def add_columns(
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

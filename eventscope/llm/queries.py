@@ -3,11 +3,13 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, packing
-from eventscope.llm.frames import small_batches, table, text_or_empty
+from eventscope.llm import bpe, exact, packing, simhash
+from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
 SEQUENCE = 2048
+# Words of a shingle and bits that linked fingerprints may differ in.
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -41,10 +43,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = documents(spark, sf_dir, "doc_id", "text")
+    rows = saved(simhash.fingerprints(texts, SIMHASH_WORDS).drop("text"))
+    groups = simhash.near_groups(rows, SIMHASH_BITS)
+    return rows.join(groups, "fingerprint").select(
+        "doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 # Lower case for A-Z only, as DuckDB's lower() also turns other letters.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
