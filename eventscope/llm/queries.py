@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, packing, simhash
+from eventscope.llm import bpe, exact, language, packing, simhash
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -52,11 +52,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = documents(spark, sf_dir, "doc_id", "text", "lang")
+    # A row without an id is neither learned from nor told apart from the others held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    model = language.learn(texts.where(~held_out), F.xxhash64("doc_id"))
+    rows = texts.select("doc_id", held_out.alias("held_out"), "text")
+    return language.identify(rows, model).drop("text")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
 }
 # Lower case for A-Z only, as DuckDB's lower() also turns other letters.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
