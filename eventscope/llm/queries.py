@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, packing, simhash
+from eventscope.llm import bpe, exact, language, packing, simhash, toxicity
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -28,6 +28,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graded(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``docs`` graded by a model of the labelled ones."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.xxhash64("doc_id"))
+    return toxicity.grade(docs, model)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graded(spark, sf_dir, documents(spark, sf_dir, "doc_id", "text")).drop("text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
@@ -63,6 +73,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
