@@ -10,26 +10,23 @@ buckets are shuffled once, and each is split in memory in the same way until its
 are single or ended. Texts are compared as bytes throughout, never by a digest.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from eventscope.llm.frames import saved
+
 # A bucket is large with more than this share of a task's rows or bytes, and with more
 # than this many at all.
 SHARE, LEAST_ROWS, LEAST_BYTES = 0.25, 64, 1 << 20
-FIRST_BYTES, WIDER = 8, 8
+FIRST_BYTES, WIDER = 16, 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(text: str | Column = "text") -> Column:
-    """The text with A-Z in lower case; null counts as empty."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
 def equal_groups(texts: list[bytes], start: int = 0) -> Iterator[list[int]]:
     """Indexes of equal texts, by radix from byte ``start`` on."""
     stack = [(list(range(len(texts))), start, FIRST_BYTES)]
@@ -49,7 +46,9 @@ def equal_groups(texts: list[bytes], start: int = 0) -> Iterator[list[int]]:
 
 
 def _chunk(data: Column, start: int, width: int) -> Column:
-    return F.substring(data, start + 1, width)
+    """Bytes of a text with A-Z lower-cased; only these bytes, as the text may be long."""
+    letters = F.decode(F.substring(data, start + 1, width), "ISO-8859-1")
+    return F.encode(F.translate(letters, UPPER, LOWER), "ISO-8859-1")
 
 
 def _large_buckets(rows: DataFrame, tasks: int) -> list[DataFrame]:
@@ -75,7 +74,8 @@ def _large_buckets(rows: DataFrame, tasks: int) -> list[DataFrame]:
             )
         )
         if limits is None:
-            n, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("_data").cast("long"))).first()
+            buckets = saved(buckets)
+            n, size = buckets.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.sum("_bytes")).first()
             limits = max(LEAST_ROWS, SHARE * n / tasks), max(LEAST_BYTES, SHARE * (size or 0) / tasks)
         large = buckets.where((F.col("_n") > limits[0]) | (F.col("_bytes") > limits[1])).collect()
         if not large:
@@ -106,8 +106,12 @@ def _descend(here: DataFrame, step: DataFrame, start: int, width: int) -> DataFr
     return at.join(F.broadcast(step.drop("_bytes")), ["_node", "_chunk", "_ended"], "left")
 
 
-def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``keep_id``, ``group_size`` and ``kept``.
+def exact_groups(
+    df: DataFrame, id: str = "doc_id", text: str = "text", columns: list[str] | None = None,
+    digest: str | None = None,
+) -> DataFrame:
+    """The ``columns`` of ``df`` (all) with ``keep_id``, ``group_size`` and ``kept``; if named,
+    also a ``digest`` column with the SHA-256 of the normalised text, in hexadecimal.
 
     Texts are equal if they are the same bytes after lower-casing A-Z; null counts as
     empty. Of equal texts one row with the largest id stays (a null id is smaller than
@@ -115,67 +119,77 @@ def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     replaced. Counts the large buckets while the plan is built, one aggregation a step.
     """
     spark = df.sparkSession
-    df = df.drop("keep_id", "group_size", "kept")
+    new = ["keep_id", "group_size", "kept"] + [digest] * (digest is not None)
+    columns = [c for c in columns or df.columns if c not in new]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = normalised(F.col(f"`{text}`")).cast("binary")
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     steps = _large_buckets(df.select(F.col(f"`{id}`").alias("_id"), data.alias("_data")), tasks)
 
     id_type = df.schema[id].dataType
-    here = df.withColumns({
-        "_data": data, "_node": F.lit(0).cast("long"), "_size": F.lit(None).cast("long"),
-        "_largest": F.lit(None).cast(id_type), "_place": F.lit(None).cast("binary"),
-    })
+    here = df.select(
+        *[F.col(f"`{c}`") for c in columns],
+        F.col(f"`{id}`").alias("_id"), data.alias("_data"), F.lit(0).cast("long").alias("_node"),
+        F.lit(None).cast("long").alias("_size"), F.lit(None).cast(id_type).alias("_largest"),
+        F.lit(None).cast("binary").alias("_place"),
+    )
+    carried = [*columns, "_id", "_data"]
+
+    def place(chunk) -> Column:
+        return F.concat(F.encode(F.col("_node").cast("string"), "utf-8"), F.lit(b"/"), chunk)
+
     start, width = 0, FIRST_BYTES
     for step in steps:
         found = _descend(here, step, start, width)
         closed = F.col("_next").isNotNull() & F.col("_ended")
         on = F.col("_next").isNotNull() & ~F.col("_ended")
         here = found.select(
-            *[F.col(f"`{c}`") for c in df.columns], "_data",
+            *[F.col(f"`{c}`") for c in carried],
             # A row that stopped at an earlier step has node -1 and stays as it was.
-            F.when(F.col("_node") < 0, F.col("_node")).when(on, F.col("_next")).otherwise(-1).cast("long").alias("_node"),
+            F.when(on, F.col("_next")).otherwise(-1).cast("long").alias("_node"),
             F.when(closed, F.col("_n")).otherwise(F.col("_size")).alias("_size"),
             F.when(closed, F.col("_keep")).otherwise(F.col("_largest")).alias("_largest"),
-            F.when((F.col("_node") >= 0) & ~on, F.concat(F.encode(F.col("_node").cast("string"), "utf-8"), F.lit(b"/"), "_chunk"))
-            .otherwise(F.col("_place")).alias("_place"),
+            F.when((F.col("_node") >= 0) & ~on, place(F.col("_chunk"))).otherwise(F.col("_place")).alias("_place"),
         )
         start, width = start + width, width * WIDER
-    # What went all the way down is placed by the bytes after the last step.
-    place = F.coalesce(
+    # What went all the way down is placed by the bytes after the last step. Rows of a
+    # closed bucket that lose are settled already and go anywhere.
+    loses = F.col("_size").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_largest"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(4 * tasks)).cast("string")
+    here = here.withColumn("_loses", loses).withColumn(
         "_place",
-        F.concat(F.encode(F.col("_node").cast("string"), "utf-8"), F.lit(b"/"), _chunk(F.col("_data"), start, width)),
-    )
-    here = here.withColumn("_place", place).drop("_data", "_node")
-
-    loses = F.col("_size").isNotNull() & ~F.col(f"`{id}`").eqNullSafe(F.col("_largest"))
-    dropped = here.where(loses).select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.col("_largest").alias("keep_id"), F.col("_size").alias("group_size"), F.lit(False).alias("kept"),
-    )
-    met = here.where(~loses).repartition("_place").sortWithinPartitions("_place")
-    return met.mapInArrow(_settle(df.schema, id, text), dropped.schema).unionAll(dropped)
-
-
-def _settle(schema: T.StructType, id: str, text: str):
-    """Splits each bucket of a sorted partition; holds one bucket at a time."""
+        F.when(F.col("_loses"), F.concat(F.lit(b"-"), F.encode(salt, "utf-8"), F.lit(b"/"), F.col("_place")))
+        .otherwise(F.coalesce("_place", place(_chunk(F.col("_data"), start, width)))),
+    ).drop("_node")
+    schema = T.StructType([f for c in columns for f in [df.schema[c]]] + [
+        T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
+        T.StructField("kept", T.BooleanType()),
+    ] + [T.StructField(digest, T.StringType())] * (digest is not None))
+    met = here.repartition("_place").sortWithinPartitions("_place")
+    return met.mapInArrow(_settle(schema, len(columns), digest is not None), schema)
+
+
+def _settle(schema: T.StructType, given: int, with_digest: bool):
+    """Splits each bucket of a sorted partition; holds one bucket at a time. The first
+    ``given`` columns are passed through."""
     names = schema.fieldNames()
-    kinds = [to_arrow_type(schema[id].dataType), pa.int64(), pa.bool_()]
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[given:]]
 
     def settle(bucket: pa.Table) -> pa.Table:
-        ids = bucket.column(id).to_pylist()
-        texts = [(t or "").encode().lower() for t in bucket.column(text).to_pylist()]
-        sizes, largest = bucket.column("_size").to_pylist(), bucket.column("_largest").to_pylist()
+        ids, texts, sizes, largest, loses = (
+            bucket.column(c).to_pylist() for c in ("_id", "_data", "_size", "_largest", "_loses")
+        )
+        texts = [t.lower() for t in texts]
         out = [None] * len(ids)
         for group in equal_groups(texts):
-            best = max(group, key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, -i))
-            closed = sizes[group[0]]
+            lost, closed = loses[group[0]], sizes[group[0]]
+            best = -1 if lost else max(group, key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, -i))
             keep, size = (ids[best], len(group)) if closed is None else (largest[group[0]], closed)
+            end = (hashlib.sha256(texts[group[0]]).hexdigest(),) if with_digest else ()
             for i in group:
-                out[i] = (keep, size, i == best)
-        columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
-        table = bucket.select(names)
-        for name, column in zip(("keep_id", "group_size", "kept"), columns):
-            table = table.append_column(name, column)
+                out[i] = (keep, size, i == best, *end)
+        table = bucket.select(names[:given])
+        for name, column, kind in zip(names[given:], zip(*out), kinds):
+            table = table.append_column(name, pa.array(list(column), kind))
         return table
 
     def run(batches):

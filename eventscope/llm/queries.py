@@ -47,10 +47,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir, "doc_id", "text")
-    return exact.exact_groups(texts).select(
-        "doc_id", "keep_id", "group_size", "kept",
-        F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"),
-    )
+    return exact.exact_groups(texts, columns=["doc_id"], digest="text_sha256")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
