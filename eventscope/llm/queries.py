@@ -3,11 +3,12 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, packing, simhash, toxicity
+from eventscope.llm import bpe, exact, language, packing, ring, simhash, toxicity
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
 SEQUENCE = 2048
+SHARDS = 16
 # Words of a shingle and bits that linked fingerprints may differ in.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -28,6 +29,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    rows = documents(spark, sf_dir, "doc_id", "text").select(
+        "doc_id", (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return ring.assign(rows, "doc_id", SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def graded(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """``docs`` graded by a model of the labelled ones."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.xxhash64("doc_id"))
@@ -70,6 +80,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
