@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, packing, ring, simhash, toxicity
+from eventscope.llm import bpe, exact, language, order_minhash, packing, ring, simhash, toxicity
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -48,6 +48,29 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir, documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = order_minhash.edited_texts(documents(spark, sf_dir, "doc_id", "text"))
+    rows = saved(texts.select(
+        "id", "digest", "next_id", "next_digest",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        order_minhash.signature(F.col("text")).alias("of_text"),
+        order_minhash.signature(F.col("edited")).alias("of_edited"),
+    ))
+    # Rows with one id and digest have one text.
+    nexts = rows.groupBy(F.col("id").alias("to_id"), F.col("digest").alias("to_digest")).agg(
+        F.max("of_text").alias("of_next")
+    )
+    same = F.col("next_id").eqNullSafe(F.col("to_id")) & (F.col("next_digest") == F.col("to_digest"))
+    return rows.join(nexts, same).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        order_minhash.as_text(F.col("of_text")).alias("fingerprint"),
+        order_minhash.as_text(F.col("of_edited")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("of_text"), F.col("of_edited")).alias("near_edited"),
+        order_minhash.likeness(F.col("of_text"), F.col("of_next")).alias("near_next"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
@@ -82,6 +105,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_order_minhash": op4_order_minhash,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
