@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, order_minhash, packing, ring, simhash, toxicity
+from eventscope.llm import bpe, exact, language, order_minhash, packing, ring, secrets, simhash, toxicity
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -78,6 +78,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, SEQUENCE)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document counts as a repository of its source."""
+    texts = documents(spark, sf_dir, "doc_id", "text", "source")
+    found = secrets.scan(texts, repository="doc_id", owner="source")
+
+    def count(kind: int):
+        spans = F.filter("base", lambda s: s["kind"] == kind)
+        return F.size(spans).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return found.select(
+        "doc_id", *map(count, range(3)),
+        F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"), "n_live", "n_example",
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir, "doc_id", "text")
     return exact.exact_groups(texts, columns=["doc_id"], digest="text_sha256")
@@ -107,6 +123,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_order_minhash": op4_order_minhash,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
