@@ -6,29 +6,43 @@ over that histogram: a configuration is a multiset of lengths that fit into one
 and the program asks for the fewest sequences whose configurations cover every length
 as often as it occurs. Multiplicative weights solve it: a length's price falls with what
 is already covered of it, and a knapsack by dynamic programming finds the dearest
-configurations. The fractions are rounded down to whole sequences as far as pieces
-last, and what is left is packed best-fit in decreasing length, lengths at a time rather
+configurations. The fractions are rounded to whole sequences as far as pieces last, the
+program is solved once more for the rest, and what is left is packed best-fit in decreasing length, lengths at a time rather
 than pieces. Pieces then take the slots of their length by rank.
 """
 
 import bisect
+import itertools
+import json
+import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
 from eventscope.llm.frames import saved
 
-# Rounds of multiplicative weights, the step, and how far a round may overfill a length.
-ROUNDS, STEP, OVERFILL = 24, 0.7, 2.0
+# Rounds of multiplicative weights, the step, and how far a round may overfill a length;
+# the program is solved again for what rounding leaves, so many times in all.
+ROUNDS, STEP, OVERFILL, PASSES = 10, 0.7, 2.0, 2
+# Knapsacks of a round: each leaves out the lengths that the ones before filled.
+KNAPSACKS = 4
 # Pieces of one length are ranked in this many parts, so a length that holds a third of
 # all rows is not one task.
 CELLS = 32
-REMEMBERED, REMEMBERED_LETTERS = 1 << 20, 48
+# Words and units of words that a worker remembers, and bytes of text coded at once.
+REMEMBERED, REMEMBERED_UNITS, REMEMBERED_LETTERS = 1 << 19, 1 << 19, 48
+CODED_BYTES = 8 << 20
+
+# The units of a tokenizer for which plain words have the short way.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 Configuration = tuple[int, ...]
 
@@ -37,32 +51,89 @@ Configuration = tuple[int, ...]
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space.
+    """Ids of texts by a tokenizer that drops white space and joins no tokens across it.
 
     Blank, tab and line end always divide its tokens, so what stands between them is
-    coded once and remembered.
+    coded once and remembered. Plain words, letters with ASCII punctuation behind them,
+    are one or two units of its merges; they need no other step of the tokenizer.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, for each text."""
-        known = self.known
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        new = list({w for row in words for w in row if w not in known})
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, code in zip(new, coded):
-            known[word] = np.array(code.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, row)) for row in words]
-        for word in new:
-            if len(word) > REMEMBERED_LETTERS:
-                del known[word]
-        return out
+        self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.plain = _splits_like_this(json.loads(definition))
+
+    def _unit(self, unit: str) -> bytes:
+        if len(self.units) >= REMEMBERED_UNITS:
+            self.units.clear()
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(unit)])
+        self.units[unit] = ids
+        return ids
+
+    def _code(self, words: list[str]) -> dict[str, bytes]:
+        coded, rest, units, unit = {}, [], self.units, self._unit
+        plain = PLAIN_WORD.fullmatch if self.plain else lambda word: None
+        for word in words:
+            found = plain(word)
+            if found is None:
+                rest.append(word)
+                continue
+            letters, marks = found.groups()
+            letters = letters.lower()
+            ids = units.get(letters) or unit(letters)
+            coded[word] = ids + (units.get(marks) or unit(marks)) if marks else ids
+        for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            coded[word] = np.array(code.ids, dtype="<u4").tobytes()
+        return coded
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (unsigned, 32 bits), and where each text's ids end."""
+        texts = texts.fill_null("")
+        for blank in ("\n", "\t"):
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        unlike = words.dictionary.to_pylist()
+        ids = list(map(self.known.get, unlike))
+        new = [w for w, i in zip(unlike, ids) if i is None]
+        if new:
+            coded = self._code(new)
+            ids = [coded[w] if i is None else i for w, i in zip(unlike, ids)]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            short = (item for item in coded.items() if len(item[0]) <= REMEMBERED_LETTERS)
+            self.known.update(itertools.islice(short, REMEMBERED))
+        parts = pa.array(ids, pa.binary()).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy() >> 2)])
+        in_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        data = parts.buffers()[2] if len(parts) else None
+        return np.frombuffer(data or b"", dtype="<u4", count=int(ends[-1])), ends[in_text[1:]]
+
+
+def _splits_like_this(definition: dict) -> bool:
+    """Whether the tokenizer lower-cases, and takes runs of letters and of other marks as
+    units; apostrophes, digits and what is not ASCII are left to it in any case."""
+    steps = definition["normalizer"]["normalizers"] if definition.get("normalizer") else []
+    before = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and before[0]["pattern"] == {"Regex": UNITS}
+    )
+
+
+def _gathered(batches, text: str):
+    """Batches of about CODED_BYTES of text: words that occur again are looked up once."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.column(text).nbytes
+        if size >= CODED_BYTES:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+    if size or any(len(b) for b in waiting):
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
 _BUILT: dict[int, WordIds] = {}
@@ -90,11 +161,11 @@ def pieces(
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = WordIds(shared.value)
-        for batch in batches:
-            rows = _BUILT[key].encode([t or "" for t in batch.column(text).to_pylist()])
-            origin, found = [], []
-            for i, ids in enumerate(rows):
-                ids += end
+        for batch in _gathered(batches, text):
+            coded, ends = _BUILT[key].encode(batch.column(text))
+            origin, found, before = [], [], 0
+            for i, past in enumerate(ends):
+                ids, before = coded[before:past].tobytes() + end, past
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     origin.append(i)
@@ -134,47 +205,57 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     share: Counter[Configuration] = Counter()
     covered = np.zeros(len(lengths))
     per_round = float((lengths * counts).sum()) / capacity
+    # The first prices are far off; what they bought is not kept.
+    settle = rounds // 2
     for t in range(rounds):
+        if t == settle and t:
+            # The volume is the least there can be; more are needed if lengths stay behind.
+            per_round /= float(np.clip((covered / counts).min() / t, 0.5, 1.0))
         prices = lengths / capacity * np.exp(-STEP * (covered / counts - t))
-        best, pick = knapsack(lengths, prices, capacity)
-        worth = prices + best[capacity - lengths]
         room, left = OVERFILL * counts, per_round
-        for first in np.argsort(-worth, kind="stable"):
-            config, rest = [int(first)], capacity - int(lengths[first])
-            while rest:
-                j = int(pick[rest])
-                rest -= int(lengths[j]) if j >= 0 else 1
-                if j >= 0:
-                    config.append(j)
-            times = Counter(config)
-            amount = min(left, min(room[j] / a for j, a in times.items()))
-            if amount <= 0:
-                continue
-            share[tuple(sorted(config))] += amount / rounds
-            for j, a in times.items():
-                room[j] -= a * amount
-                covered[j] += a * amount
-            left -= amount
-            if left <= 0:
+        # Lengths that are full for this round leave the knapsack.
+        for _ in range(KNAPSACKS):
+            usable = np.flatnonzero(room > 1e-9)
+            if left <= 1e-9 or not len(usable):
                 break
+            sizes = lengths[usable]
+            best, pick = knapsack(sizes, prices[usable], capacity)
+            worth = prices[usable] + best[capacity - sizes]
+            for first in np.argsort(-worth, kind="stable"):
+                config, rest = [int(usable[first])], capacity - int(sizes[first])
+                while rest:
+                    j = int(pick[rest])
+                    rest -= int(sizes[j]) if j >= 0 else 1
+                    if j >= 0:
+                        config.append(int(usable[j]))
+                times = Counter(config)
+                amount = min(left, min(room[j] / a for j, a in times.items()))
+                if amount <= 1e-9:
+                    continue
+                if t >= settle:
+                    share[tuple(sorted(config))] += amount / (rounds - settle)
+                for j, a in times.items():
+                    room[j] -= a * amount
+                    covered[j] += a * amount
+                left -= amount
+                if left <= 1e-9:
+                    break
     return share
 
 
 def rounded(share: dict[Configuration, float], counts: np.ndarray) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
-    """Whole numbers of sequences, none with a piece that is not there; and what is left."""
+    """Whole numbers of sequences, rounded up as long as all their pieces are still there, the
+    largest shares first; and what is left."""
     left = counts.astype(np.int64).copy()
-    whole: Counter[Configuration] = Counter()
-    order = sorted(share.items(), key=lambda item: (-item[1], item[0]))
-    for up in (False, True):
-        for config, amount in order:
-            times = Counter(config)
-            most = min(int(left[j]) // a for j, a in times.items())
-            k = most if up else min(most, int(amount))
-            if k:
-                whole[config] += k
-                for j, a in times.items():
-                    left[j] -= a * k
-    return list(whole.items()), left
+    whole = []
+    for config, amount in sorted(share.items(), key=lambda item: (-item[1], item[0])):
+        times = Counter(config)
+        k = min(min(int(left[j]) // a for j, a in times.items()), math.ceil(amount))
+        if k:
+            whole.append((config, k))
+            for j, a in times.items():
+                left[j] -= a * k
+    return whole, left
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
@@ -225,7 +306,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration,
     counts = np.array([histogram[int(n)] for n in lengths])
     if lengths[0] < 1 or lengths[-1] > capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    whole, left = rounded(solve(lengths, counts, capacity), counts)
+    whole, left = [], counts
+    for _ in range(PASSES):
+        there = np.flatnonzero(left)
+        if len(there):
+            found, rest = rounded(solve(lengths[there], left[there], capacity), left[there])
+            whole += [(tuple(int(there[j]) for j in config), k) for config, k in found]
+            left = left.copy()
+            left[there] = rest
     whole += best_fit(lengths, left, capacity)
     return [(tuple(int(lengths[j]) for j in reversed(sorted(c))), k) for c, k in whole]
 
