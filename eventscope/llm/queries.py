@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, order_minhash, packing, ring, secrets, simhash, toxicity
+from eventscope.llm import bpe, exact, language, order_minhash, packing, repeats, ring, secrets, simhash, toxicity
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -117,6 +117,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model).drop("text")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -127,6 +131,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
+    "op10_repeats": op10_repeats,
 }
 # Lower case for A-Z only, as DuckDB's lower() also turns other letters.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
