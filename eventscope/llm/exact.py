@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eventscope.llm.frames import saved
-
 # A bucket is large with more than this share of a task's rows or bytes, and with more
 # than this many at all.
 SHARE, LEAST_ROWS, LEAST_BYTES = 0.25, 64, 1 << 20
@@ -74,8 +72,7 @@ def _large_buckets(rows: DataFrame, tasks: int) -> list[DataFrame]:
             )
         )
         if limits is None:
-            buckets = saved(buckets)
-            n, size = buckets.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.sum("_bytes")).first()
+            n, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("_data").cast("long"))).first()
             limits = max(LEAST_ROWS, SHARE * n / tasks), max(LEAST_BYTES, SHARE * (size or 0) / tasks)
         large = buckets.where((F.col("_n") > limits[0]) | (F.col("_bytes") > limits[1])).collect()
         if not large:
@@ -163,7 +160,7 @@ def exact_groups(
     schema = T.StructType([f for c in columns for f in [df.schema[c]]] + [
         T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
         T.StructField("kept", T.BooleanType()),
-    ] + [T.StructField(digest, T.StringType())] * (digest is not None))
+    ] + ([T.StructField(digest, T.StringType())] if digest else []))
     met = here.repartition("_place").sortWithinPartitions("_place")
     return met.mapInArrow(_settle(schema, len(columns), digest is not None), schema)
 

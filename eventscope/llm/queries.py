@@ -71,11 +71,15 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` in pieces of sequences."""
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
-    cut = packing.pieces(documents(spark, sf_dir, "doc_id", "text"), definition, SEQUENCE)
-    return packing.pack(cut, SEQUENCE)
+    return packing.pack(packing.pieces(texts, definition, SEQUENCE), SEQUENCE)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

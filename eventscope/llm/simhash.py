@@ -145,23 +145,25 @@ def links(df: DataFrame, distance: int, blocks: int = 6, shared: int = 2) -> Dat
 def near_groups(
     df: DataFrame, distance: int, blocks: int = 6, shared: int = 2, id: str = "doc_id"
 ) -> DataFrame:
-    """``fingerprint``, ``component_id``, ``first_id`` for each fingerprint of ``df``, once.
+    """``fingerprint``, ``component_id``, ``component`` for each fingerprint of ``df``, once.
 
-    ``component_id`` is the smallest id that links lead to, null if all ids are; ``first_id``
-    the smallest with this very fingerprint. ``df`` should be saved: it is read twice.
+    ``component_id`` is the smallest id that links lead to, null if all ids are; ``component``
+    the smallest fingerprint, which tells components apart even if ids repeat.
     """
     each = saved(df.groupBy("fingerprint").agg(F.min(id).alias("first_id")))
     named = component_names(links(each, distance, blocks, shared))
     linked = saved(
         each.join(named, F.col("fingerprint") == F.col("node")).select("fingerprint", "first_id", "name")
     )
-    least = saved(linked.groupBy("name").agg(F.min("first_id").alias("component_id")))
-    found = linked.join(least, "name").select("fingerprint", "component_id")
+    least = saved(linked.groupBy("name").agg(
+        F.min("first_id").alias("component_id"), F.min("fingerprint").alias("component")
+    ))
+    found = linked.join(least, "name").select("fingerprint", "component_id", "component")
     return saved(
         each.join(found, "fingerprint", "left").select(
             "fingerprint",
-            F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
-            "first_id",
+            F.coalesce("component_id", "first_id").alias("component_id"),
+            F.coalesce("component", "fingerprint").alias("component"),
         )
     )
 
