@@ -222,7 +222,7 @@ def resolve_refs(spark, sf):
 @query
 def resolve_refs_by_join(spark, sf):
     events = t.raw_events(spark, sf)
-    linked = links.resolve_refs(events, "associations", t.association_table(spark, sf), small_rows=0)
+    linked = links.resolve_refs(events, "associations", t.association_table(spark, sf))
     shown = F.transform("associations", lambda a: F.concat(a["mode"], F.lit(":"), a["title"]))
     return linked.select("event_key", F.array_join(shown, ",").alias("associations"))
 
@@ -602,8 +602,8 @@ def step_at(spark, sf):
 @query
 def only_in_narrative(spark, sf):
     events = t.space_events(spark, sf)
-    steps = sequences.narrative_from_filters(events, FILTERS)
-    return links.only_in_narrative(events, steps).groupBy("location").agg(F.count(F.lit(1)).alias("events"))
+    members = events.where(p.matches_filters(FILTERS))
+    return links.only_in_narrative(events, members).groupBy("location").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query

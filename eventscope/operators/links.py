@@ -1,31 +1,10 @@
 """Links: ids to objects, events to events."""
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope.operators.contracts import messages, split_by_errors
-from eventscope.operators.joining import lookup_join
-
-# A lookup table up to this size is put into the plan as a map. Map keys are searched one
-# by one, so a longer table is better joined.
-SMALL_ROWS = 200
-SMALL_CHARACTERS = 1_000_000
-
-
-def _as_map(table: DataFrame, key: str, fields: Sequence[str], small_rows: int) -> Column | None:
-    """The lookup table as a constant map from key to struct, if it is small."""
-    rows = table.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("object")
-    )
-    found = rows.limit(small_rows + 1).collect()
-    if len(found) > small_rows or sum(len(r.object) for r in found) > SMALL_CHARACTERS:
-        return None
-    # Constant, so it is parsed once, when the plan is made.
-    text = "{" + ",".join(f"{json.dumps(r.key)}:{r.object}" for r in found) + "}"
-    return F.from_json(F.lit(text), f"map<string,{_object_type(table, fields)}>")
-
 
 def resolve_refs(
     df: DataFrame,
@@ -34,42 +13,36 @@ def resolve_refs(
     *,
     key: str = "id",
     fields: Sequence[str] | None = None,
-    row_key: str = "event_key",
     keep_unknown: bool = False,
     into: str | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Replace a list of ids by the objects they name, in order.
 
-    Unknown ids go, or stay as null with ``keep_unknown``. ``table`` must have unique
-    keys (``first_definitions``). A small table is looked up in place, without a shuffle.
-    A larger one is joined: ids are exploded, joined and gathered again by ``row_key``.
+    Unknown ids go, or stay as null with ``keep_unknown``; so does a null id. ``table`` must
+    have unique keys (``first_definitions``). Each list that occurs is resolved once, by a
+    join on its ids, and joined back by the list; no key of the rows is needed, and rows
+    that are alike stay what they are.
     """
     into = into or refs
     fields = list(fields or table.columns)
-    lookup = _as_map(table, key, fields, small_rows)
-    if lookup is not None:
-        found = F.transform(refs, lambda ref: F.try_element_at(lookup, ref))
-        if not keep_unknown:
-            found = F.filter(found, lambda o: o.isNotNull())
-        return df.withColumn(into, F.coalesce(found, F.array().cast(_array_type(table, fields))))
-
-    objects = table.select(F.col(key).alias("_ref"), F.struct(*fields).alias("_object"))
-    parts = lookup_join(
-        df.select(row_key, F.posexplode(refs).alias("_place", "_ref")),
-        objects, "_ref", "left" if keep_unknown else "inner",
+    objects = table.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_ref"), F.struct(*fields).alias("_object")
+    )
+    lists = df.select(F.col(refs).alias("_list")).where(F.size(refs) > 0).distinct()
+    parts = lists.select("_list", F.posexplode("_list").alias("_place", "_ref")).join(
+        objects, "_ref", "left" if keep_unknown else "inner"
     )
-    # As long as the row's own list.
-    gathered = parts.groupBy(row_key).agg(
+    # As long as the list.
+    gathered = parts.groupBy("_list").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_place", "_object"))), lambda p: p["_object"]
         ).alias("_objects")
     )
     empty = F.array().cast(_array_type(table, fields))
     return (
-        df.join(gathered, row_key, "left")
+        df.join(gathered, F.col(refs).eqNullSafe(F.col("_list")), "left")
         .withColumn(into, F.coalesce("_objects", empty))
-        .drop("_objects")
+        .drop("_list", "_objects")
     )
 
 
@@ -91,7 +64,7 @@ def join_shape(df: DataFrame, shapes: DataFrame) -> DataFrame:
     known = shapes.select(
         F.col("id").alias("shape"), F.struct("id", "title", "shape", "colour").alias("shape_row")
     )
-    return lookup_join(df, known, "shape", "left")
+    return df.join(known, "shape", "left")
 
 
 def unknown_shape() -> Column:
@@ -111,7 +84,7 @@ def coevents(df: DataFrame, selected: DataFrame, time: str = "datetime", key: st
     ``is_selected``. For one selected event these are itself and its co-events."""
     chosen = selected.select(F.col(key).alias("_key"), F.col(time).alias("_time")).distinct()
     instants = chosen.select(F.col("_time").alias(time)).distinct()
-    at = lookup_join(df, instants, time, "left_semi")
+    at = df.join(instants, time, "left_semi")
     keys = chosen.select("_key", F.lit(True).alias("is_selected"))
     return (
         at.join(keys, at[key] == keys["_key"], "left")
@@ -165,7 +138,7 @@ def neighbourhood(df: DataFrame, anchors: DataFrame, minutes: int, time: str = "
         | F.coalesce(F.col("_after") - F.col("_ms") < reach, F.lit(False))
     )
     return (
-        lookup_join(rows, seen, "_bucket").where(near).drop("_bucket", "_ms", "_before", "_own", "_after")
+        rows.join(seen, "_bucket").where(near).drop("_bucket", "_ms", "_before", "_own", "_after")
     )
 
 
@@ -175,7 +148,7 @@ def by_keys(df: DataFrame, keys: DataFrame, key: str = "session") -> DataFrame:
     ``list_pos`` holds the list's order, to sort by when showing the rows.
     """
     wanted = keys.select(F.col("pos").alias("list_pos"), F.col(key))
-    return lookup_join(wanted, df, key)
+    return wanted.join(df, key)
 
 
 def key_list(spark, keys: Sequence[str], key: str = "session") -> DataFrame:
@@ -192,22 +165,24 @@ def _filter_paths(filters: DataFrame, key: str, value: str) -> DataFrame:
 
 def paths_to_ids(paths: DataFrame, filters: DataFrame) -> DataFrame:
     """Add the filter ``id`` to rows with a ``path``; unknown paths go."""
-    return lookup_join(paths, _filter_paths(filters, "path", "id"), "path").where(F.col("id") != "")
+    return paths.join(_filter_paths(filters, "path", "id"), "path").where(F.col("id") != "")
 
 
 def ids_to_paths(ids: DataFrame, filters: DataFrame) -> DataFrame:
     """Add the ``path`` to rows with a filter ``id``; unknown ids go."""
-    return lookup_join(ids, _filter_paths(filters, "id", "path"), "id")
+    return ids.join(_filter_paths(filters, "id", "path"), "id")
 
 
-def only_in_narrative(df: DataFrame, steps: DataFrame, key: str = "event_key") -> DataFrame:
-    return df.join(steps.select(key), key, "left_semi")
+def only_in_narrative(df: DataFrame, members: DataFrame, key: str = "event_key") -> DataFrame:
+    """Events that are in a story. ``members`` are its events, in any order: the steps, or
+    the rows they are made from."""
+    return df.join(members.select(key), key, "left_semi")
 
 
 def flag_selected_locations(locations: DataFrame, selected: DataFrame) -> DataFrame:
     """Locations with ``is_selected``: a selected event has the same coordinates."""
     at = selected.select("latitude", "longitude").distinct().withColumn("is_selected", F.lit(True))
-    return lookup_join(locations, at, ["latitude", "longitude"], "left").withColumn(
+    return locations.join(at, ["latitude", "longitude"], "left").withColumn(
         "is_selected", F.coalesce("is_selected", F.lit(False))
     )
 

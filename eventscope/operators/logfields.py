@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventscope import fixed_values as fixed
-from eventscope.operators.joining import lookup_join
 from eventscope.operators.once import computed
 
 _HEADER = [*fixed.ENVELOPE, "datetime"]
@@ -25,22 +24,21 @@ def field_coverage(log: DataFrame, schema: DataFrame, raw: str = "raw") -> DataF
     The header's fields are left out.
     """
     log = computed(log, {"_logged": F.json_object_keys(raw)})
-    log = lookup_join(log, declared_fields(schema), "eventid", "left")
+    log = log.join(declared_fields(schema), "eventid", "left")
     logged = F.col("_logged")
     header = F.array(*[F.lit(f) for f in [*_HEADER, *_PLACED]])
     declared = F.coalesce("declared", F.array().cast("array<string>"))
 
     def only(name: str) -> Column:
-        return F.filter(logged, lambda f: f == name)
+        return F.array_intersect(logged, F.array(F.lit(name)))
 
-    specific = F.filter(declared, lambda f: ~F.array_contains(header, f))
-    carried = F.filter(specific, lambda f: F.array_contains(logged, f))
-    undeclared = F.filter(
-        logged, lambda f: ~F.array_contains(header, f) & ~F.array_contains(declared, f)
-    )
+    # Names are unique in a log event and in a declaration.
+    specific = F.array_except(declared, header)
+    carried = F.array_intersect(specific, logged)
+    undeclared = F.array_except(logged, F.concat(header, declared))
     return log.withColumns({
         "fields": F.concat(only("timestamp"), carried, undeclared, only("message")),
-        "absent": F.filter(specific, lambda f: ~F.array_contains(logged, f)),
+        "absent": F.array_except(specific, logged),
     }).drop("declared", "_logged")
 
 

@@ -1,10 +1,10 @@
 """Order within a group, for groups of any size.
 
-A window sorts a whole group in one task. That is the right plan while groups are
-small, and ``numbered`` keeps it for them. A group with more than ``hot_rows`` rows is
-range-partitioned by key and order instead, so its rows spread over all tasks; each
-task counts its own stretch, and a table with one row per group and task holds what
-came before it.
+A window sorts a whole group in one task. That is the plan for groups that are known to
+be small. Else the caller names a bucket, a coarser step of the order such as the day:
+rows are numbered within buckets, and a table with one row per group and bucket holds
+what came before and what the neighbouring buckets end with. A group then takes as many
+tasks as it has buckets. All of it is one plan; nothing is counted to choose it.
 """
 
 from collections.abc import Sequence
@@ -13,15 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventscope.session import use_checkpoint_folder
 
-HOT_ROWS = 5_000_000
-# Up to this many hot keys are listed; more stay a table that is joined.
-LISTED_GROUPS = 10_000
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys that hold more than ``hot_rows`` rows: at most (rows / hot_rows) of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-
 
 def numbered(
     df: DataFrame,
@@ -32,38 +23,24 @@ def numbered(
     total: str | None = None,
     following: dict[str, Column] | None = None,
     preceding: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add the row's place in its group (from 0), the group's size, and values of the
     rows after and before it.
 
     ``keys`` may be empty: then the whole table is one group. ``order`` must be total
-    within a group, or equal rows are numbered either way round. Counts group sizes
-    first (one narrow aggregation) to choose the plan.
+    within a group, or equal rows are numbered either way round. ``bucket`` must not fall
+    while the order rises, and be null where the first column of the order is.
     """
     following, preceding = following or {}, preceding or {}
     plain = not keys
     if plain:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     keys, order = list(keys), list(order)
-
-    hot = hot_groups(df, keys, hot_rows)
-    few = hot.limit(LISTED_GROUPS + 1).collect()
-    if not few:
+    if bucket is None:
         out = _by_window(df, keys, order, index, total, following, preceding)
     else:
-        if len(few) <= LISTED_GROUPS:
-            hot = F.broadcast(df.sparkSession.createDataFrame(few, hot.schema))
-        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-        rows, hot = df.alias("l"), hot.alias("h")
-        cold_part = _by_window(
-            rows.join(hot, same, "left_anti"), keys, order, index, total, following, preceding
-        )
-        hot_part = _by_range(
-            rows.join(hot, same, "left_semi"),
-            keys, order, index, total, following, preceding, hot_rows,
-        )
-        out = cold_part.unionByName(hot_part)
+        out = _by_bucket(df, keys, order, index, total, following, preceding, bucket)
     return out.drop("_all") if plain else out
 
 
@@ -78,6 +55,51 @@ def _by_window(df, keys, order, index, total, following, preceding):
     return df.withColumns(columns)
 
 
+def _by_bucket(df, keys, order, index, total, following, preceding, bucket):
+    rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket")
+    in_order = inside.orderBy(*order)
+    columns = {"_place": F.row_number().over(in_order).cast("long"), "_size": F.count(F.lit(1)).over(inside)}
+    columns |= {f"_next_{name}": F.lead(c).over(in_order) for name, c in following.items()}
+    columns |= {f"_last_{name}": F.lag(c).over(in_order) for name, c in preceding.items()}
+    placed = rows.withColumns(columns)
+
+    def values(wanted):
+        return F.struct(F.lit(0).alias("_"), *[c.alias(name) for name, c in wanted.items()])
+
+    # One row per group and bucket.
+    edges = rows.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(values(following), F.struct(*order)).alias("_first"),
+        F.max_by(values(preceding), F.struct(*order)).alias("_end"),
+    )
+    group = Window.partitionBy(*keys)
+    across = group.orderBy("_bucket")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(
+        *keys, "_bucket",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(group).alias("_total"),
+        F.lead("_first").over(across).alias("_after"),
+        F.lag("_end").over(across).alias("_back"),
+    )
+    here = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"e.`{k}`")) for k in [*keys, "_bucket"]]
+    joined = placed.alias("r").join(edges.alias("e"), here)
+    out = {index: F.col("_before") + F.col("_place") - 1}
+    if total:
+        out[total] = F.col("_total")
+    out |= {
+        name: F.when(F.col("_place") == F.col("_size"), F.col("_after")[name]).otherwise(F.col(f"_next_{name}"))
+        for name in following
+    }
+    out |= {
+        name: F.when(F.col("_place") == 1, F.col("_back")[name]).otherwise(F.col(f"_last_{name}"))
+        for name in preceding
+    }
+    kept = [c for c in df.columns if c not in out]
+    return joined.select(*[F.col(f"r.`{c}`") for c in kept], *[c.alias(name) for name, c in out.items()])
+
+
 def range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows spread over tasks by ``order`` and sorted there, with ``_place`` rising in
     that order and ``_part`` the task.
@@ -94,56 +116,3 @@ def range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
         .withColumn("_part", F.shiftright("_place", 33))
         .checkpoint()
     )
-
-
-def _by_range(df, keys, order, index, total, following, preceding, hot_rows):
-    rows = range_sorted(df, [*keys, *order])
-
-    # One row per group and task. Groups here are hot, so there are few.
-    stretches = rows.groupBy(*keys, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")
-    )
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = stretches.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-        "_total": F.sum("_n").over(group),
-    }).drop("_n")
-
-    # At most (tasks + rows / hot_rows) rows: one per split point and one per hot group.
-    here = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_part"]]
-    placed = (
-        rows.alias("r")
-        .join(F.broadcast(stretches.alias("s")), here)
-        .select("r.*", "s._first", "s._before", "s._total")
-        .withColumn(index, F.col("_before") + F.col("_place") - F.col("_first"))
-    )
-    if total:
-        placed = placed.withColumn(total, F.col("_total"))
-    placed = placed.drop("_place", "_part", "_first", "_before", "_total")
-    if not (following or preceding):
-        return placed
-    return _with_neighbours(placed, keys, index, following, preceding, hot_rows)
-
-
-def _with_neighbours(df, keys, index, following, preceding, block_rows):
-    """Values of the next and previous row, in blocks of ``block_rows`` numbered rows.
-
-    A block's first row also goes to the block before, its last row to the block after,
-    as a guest that is looked at and then dropped.
-    """
-    block = F.floor(F.col(index) / block_rows)
-    first = F.col(index) % block_rows == 0
-    last = F.col(index) % block_rows == block_rows - 1
-    homes = F.array_compact(
-        F.array(block, F.when(first, block - 1), F.when(last, block + 1))
-    )
-    in_block = Window.partitionBy(*keys, "_block").orderBy(index)
-    columns = {name: F.lead(c).over(in_block) for name, c in following.items()}
-    columns |= {name: F.lag(c).over(in_block) for name, c in preceding.items()}
-    return (
-        df.withColumn("_block", F.explode(homes))
-        .withColumns(columns)
-        .where(F.col("_block") == block)
-        .drop("_block")
-    )

@@ -6,7 +6,6 @@ from eventscope import fixed_values as fixed
 from eventscope.functions import predicates as p
 from eventscope.functions.paths import path_text
 from eventscope.functions.values import is_located
-from eventscope.operators.joining import lookup_join
 from eventscope.plans.view import View
 
 
@@ -46,7 +45,7 @@ def with_any_active(
         names = F.transform(mine, lambda a: a["title"])
     tags = events.select(key, F.explode(names).alias("_name"))
     wanted = active.toDF("_name").distinct()
-    tagged = lookup_join(tags, wanted, "_name", "left_semi").select(key)
+    tagged = tags.join(wanted, "_name", "left_semi").select(key)
     return events.join(tagged, key, "left_semi")
 
 

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventscope import fixed_values as fixed
 from eventscope.functions.predicates import matches_filters
 from eventscope.functions.values import is_located, to_number
-from eventscope.operators.ordering import HOT_ROWS, numbered
+from eventscope.operators.ordering import numbered
 
 ORDER = ["datetime", "pos"]
 
 
-def steps_in_order(
-    rows: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def _days(order: Sequence[str]) -> Column | None:
+    """A story may be all events there are, so those in time order are numbered day by day."""
+    return F.to_date("datetime") if order[0] == "datetime" else None
+
+
+def steps_in_order(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Rows with a ``narrative_id`` as steps with place, total, and the next step's end of the leg."""
     here = F.struct("event_key", "latitude", "longitude")
     return numbered(
         rows, ["narrative_id"], order,
-        index="step_idx", total="steps", following={"next": here}, hot_rows=hot_rows,
+        index="step_idx", total="steps", following={"next": here}, bucket=_days(order),
     ).withColumns({
         "has_previous": F.col("step_idx") > 0,
         "has_next": F.col("step_idx") < F.col("steps") - 1,
@@ -34,17 +37,17 @@ def narrative_rows(events: DataFrame) -> DataFrame:
     return events.withColumn("narrative_id", F.explode(ids))
 
 
-def narrative_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+def narrative_steps(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """The steps of every narrative that has any."""
-    return steps_in_order(narrative_rows(events), order, hot_rows)
+    return steps_in_order(narrative_rows(events), order)
 
 
 def narrative_from_filters(
-    events: DataFrame, paths: Sequence[str], order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
+    events: DataFrame, paths: Sequence[str], order: Sequence[str] = ORDER
 ) -> DataFrame:
     """One narrative of all events that carry any of the filter paths, named after them."""
     chosen = events.where(matches_filters(paths)) if paths else events.limit(0)
-    return steps_in_order(chosen.withColumn("narrative_id", F.lit("-".join(paths))), order, hot_rows)
+    return steps_in_order(chosen.withColumn("narrative_id", F.lit("-".join(paths))), order)
 
 
 def step_of(steps: DataFrame, selected: DataFrame, key: str = "event_key") -> DataFrame:
@@ -85,7 +88,7 @@ def narrative_legs(steps: DataFrame) -> DataFrame:
     )
 
 
-def marked_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+def marked_steps(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Steps whose style is not ``None``; legs bridge the others. The style of an event's
     n-th narrative is the n-th of its step styles."""
     stories = F.filter("associations", lambda a: a["mode"] == fixed.NARRATIVE)
@@ -93,7 +96,7 @@ def marked_steps(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int
         "*", F.posexplode(F.transform(stories, lambda a: a["id"])).alias("_place", "narrative_id")
     ).withColumn("step_style", F.get("narrative___stepStyles", F.col("_place")))
     marked = styled.where(~F.col("step_style").eqNullSafe("None")).drop("_place")
-    return steps_in_order(marked, order, hot_rows)
+    return steps_in_order(marked, order)
 
 
 def narrative_extent(
@@ -154,7 +157,6 @@ def neighbours(
     keys: Sequence[str] = (),
     order: Sequence[str] = ORDER,
     key: str = "event_key",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Key of the previous and the next event in time, over all events or within ``keys``."""
     return numbered(
@@ -162,7 +164,7 @@ def neighbours(
         index="_idx",
         following={"next_key": F.col(key)},
         preceding={"previous_key": F.col(key)},
-        hot_rows=hot_rows,
+        bucket=_days(order),
     ).drop("_idx")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from eventscope import fixed_values as fixed
 from eventscope.functions.values import blank_to_null, to_number
 from eventscope.operators.once import computed
-from eventscope.operators.ordering import HOT_ROWS, numbered
+from eventscope.operators.ordering import numbered
 
 RECORD_COLUMNS = ["record_src_ip", "location", "latitude", "longitude"]
 _FIRST = ["timestamp", "src_ip", "sensor", "uuid", "protocol"]
@@ -182,9 +182,11 @@ def session_groups(
     )
 
 
-def occurrence_index(log: DataFrame, keys: Sequence[str] = ("session",), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number of each log event among those of its type in its session, from 0."""
-    return numbered(log, [*keys, "eventid"], ["ms", "pos"], index="occurrence", hot_rows=hot_rows)
+def occurrence_index(log: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Number of each log event among those of its type in its session, from 0. A session
+    may hold most of the log; it is numbered day by day."""
+    days = F.floor(F.col("ms") / 86_400_000)
+    return numbered(log, [*keys, "eventid"], ["ms", "pos"], index="occurrence", bucket=days)
 
 
 def sessions_to_events(

@@ -60,6 +60,8 @@ def cluster(
             F.min("lat").alias("lat"), F.min("lon").alias("lon"),
         )
     )
+    if any(not 0 <= z <= max_zoom for z in zooms):
+        raise ValueError(f"zooms must be from 0 to {max_zoom}")
     zoom = F.explode(F.array(*[F.lit(z) for z in zooms])).alias("zoom")
     up = F.lit(max_zoom) - F.col("zoom")
     spread = (

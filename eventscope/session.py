@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where splitting a hot key of a join takes a further shuffle, as next to an
+    # aggregate by the same key.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_events(events: DataFrame, path: str, mode: str) -> None:
     """Parquet by ``event_date``. Rows are spread by day before writing, and Spark splits
-    the days that are large."""
+    the days that are large. ``mode`` is Spark's: "overwrite" replaces all days."""
     dated = events.withColumn("event_date", F.to_date("datetime"))
     (
         dated.hint("rebalance", "event_date")

@@ -60,17 +60,29 @@ def test_paths_and_ids(spark):
     assert {(r.n, r.path) for r in links.ids_to_paths(named, filters).collect()} == {(0, "a/b")}
 
 
-@pytest.mark.parametrize("small_rows", [0, 100])
 @pytest.mark.parametrize("keep", [True, False])
-def test_refs_by_map_and_by_join(spark, small_rows, keep):
+def test_refs(spark, keep):
     table = spark.createDataFrame([("a", "A"), ("b", 'quote " \\'), ("c", None)], "id string, title string")
     df = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, []), (3, None), (4, ["x"]), (5, ["c"])], "event_key int, refs array<string>")
-    out = links.resolve_refs(df, "refs", table, keep_unknown=keep, small_rows=small_rows)
+    out = links.resolve_refs(df, "refs", table, keep_unknown=keep)
     found = {r.event_key: [o and o.title for o in r.refs] for r in out.collect()}
     gap = [None] if keep else []
     assert found == {1: ['quote " \\', *gap, "A", 'quote " \\'], 2: [], 3: [], 4: gap, 5: [None]}
 
 
+@pytest.mark.parametrize("n", [200, 201, 1000])
+def test_refs_whatever_the_size_of_the_lookup(spark, n):
+    """Keys given twice or not at all, ids that are numbers, and exact times."""
+    at = dt.datetime(2026, 4, 6, 1, 2, 3, 456789)
+    table = spark.createDataFrame([(i, f"t{i}", at) for i in range(n)], "id long, title string, at timestamp")
+    rows = [(1, [5]), (1, [7, 5]), (None, [5]), (2, [5, None, 10**9, 5]), (3, None), (None, [])]
+    df = spark.createDataFrame(rows, "event_key int, refs array<long>")
+    out = links.resolve_refs(df, "refs", table).collect()
+    found = sorted(((r.event_key, [(o.title, o.at) for o in r.refs]) for r in out), key=repr)
+    expected = [(k, [(f"t{i}", at) for i in refs or [] if i is not None and i < n]) for k, refs in rows]
+    assert found == sorted(expected, key=repr)
+
+
 # Groups
 
 
@@ -138,9 +150,8 @@ def stories(spark):
     ], STORY)
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_steps_and_legs(spark, many_parts, stories, hot_rows):
-    steps = sequences.narrative_steps(stories, hot_rows=hot_rows)
+def test_steps_and_legs(spark, many_parts, stories):
+    steps = sequences.narrative_steps(stories)
     rows = {(r.narrative_id, r.event_key): (r.step_idx, r.steps, r.has_previous, r.has_next) for r in steps.collect()}
     assert rows == {
         ("m", 2): (0, 1, False, False), ("n", 2): (0, 5, False, True), ("n", 3): (1, 5, True, True),
@@ -148,7 +159,7 @@ def test_steps_and_legs(spark, many_parts, stories, hot_rows):
     }
     legs = {(r.from_key, r.to_key) for r in sequences.narrative_legs(steps).collect()}
     assert legs == {(1, 4), (4, 5)}
-    marked = sequences.narrative_legs(sequences.marked_steps(stories, hot_rows=hot_rows))
+    marked = sequences.narrative_legs(sequences.marked_steps(stories))
     assert {(r.narrative_id, r.from_key, r.to_key) for r in marked.collect()} == {("n", 1, 4), ("n", 4, 5)}
     picked = stories.where("event_key in (1, 5)")
     assert {(r.event_key, r.step_idx) for r in sequences.step_of(steps, picked).collect()} == {(1, 2), (5, 4)}
@@ -203,9 +214,8 @@ def test_extent(spark, limits):
         assert [r.south, r.west, r.north, r.east, r.start_ms, r.end_ms] == pytest.approx(expected[r.narrative_id])
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_neighbours(spark, many_parts, stories, hot_rows):
-    rows = sequences.neighbours(stories, hot_rows=hot_rows).collect()
+def test_neighbours(spark, many_parts, stories):
+    rows = sequences.neighbours(stories).collect()
     assert {(r.event_key, r.previous_key, r.next_key) for r in rows} == {
         (2, None, 3), (3, 2, 1), (1, 3, 4), (4, 1, 5), (5, 4, None)
     }

@@ -34,14 +34,14 @@ def found(df):
     return {r.pos: (r.idx, r.total, r.after, r.before) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [10, 50, 10_000])
+@pytest.mark.parametrize("width", [1, 7, 1000, None])
 @pytest.mark.parametrize("keyed", [True, False])
-def test_same_numbers_by_window_and_by_range(spark, many_parts, hot_rows, keyed):
+def test_same_numbers_by_window_and_by_bucket(spark, many_parts, width, keyed):
     rows = rows_with_hot_key()
     df = spark.createDataFrame(rows, "key string, time int, pos int, v string").repartition(5)
     out = numbered(
         df, ["key"] if keyed else [], ["time", "pos"], total="total",
-        following={"after": F.col("v")}, preceding={"before": F.col("v")}, hot_rows=hot_rows,
+        following={"after": F.col("v")}, preceding={"before": F.col("v")}, bucket=width and F.floor(F.col("time") / width),
     )
     assert out.columns == ["key", "time", "pos", "v", "idx", "total", "after", "before"]
     assert found(out) == expected(rows, keyed)
@@ -62,6 +62,15 @@ def test_null_keys_are_a_group(spark, many_parts):
     df = spark.createDataFrame(rows, "key string, time int, pos int, v string")
     out = numbered(
         df, ["key"], ["time", "pos"], total="total",
-        following={"after": F.col("v")}, preceding={"before": F.col("v")}, hot_rows=20,
+        following={"after": F.col("v")}, preceding={"before": F.col("v")}, bucket=F.floor(F.col("time") / 3),
     )
     assert found(out) == expected(rows)
+
+
+def test_null_times_come_first(spark, many_parts):
+    rows = [("a", None if i % 5 == 0 else i % 4, i, None if i % 3 else f"v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, time int, pos int, v string")
+    options = {"total": "total", "following": {"after": F.col("v")}, "preceding": {"before": F.col("v")}}
+    by_window = numbered(df, ["key"], ["time", "pos"], **options)
+    by_bucket = numbered(df, ["key"], ["time", "pos"], bucket=F.floor(F.col("time") / 2), **options)
+    assert found(by_bucket) == found(by_window)

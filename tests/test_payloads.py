@@ -91,7 +91,7 @@ def test_written_events_are_pruned_by_day(spark, tmp_path):
         "select id, timestamp '2026-04-01 12:00:00' + make_interval(0, 0, 0, cast(id as int)) datetime from range(10)"
     )
     path = str(tmp_path / "events")
-    sinks.write_events(events, path)
+    sinks.write_events(events, path, "error")
     back = sinks.read_written_events(spark, path)
     found = back.where(in_range("2026-04-03", "2026-04-06", day="event_date"))
     assert sorted(r.id for r in found.collect()) == [2, 3, 4]
