@@ -1,6 +1,7 @@
 """Run queries and their SQL side by side: ``python -m checks.compare SF_DIR [name ...]``."""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -63,7 +64,7 @@ def difference(spark, db, sf_dir: str, name: str) -> str:
 
 
 def main(sf_dir: str, *names: str) -> int:
-    spark = local_session(8, **{"spark.ui.showConsoleProgress": "false"})
+    spark = local_session(int(os.environ.get("COMPARE_CPUS", "8")), **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db, wrong = connect(sf_dir), 0
     for name in names or QUERIES:

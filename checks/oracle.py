@@ -225,6 +225,54 @@ SELECT CAST(event_key AS VARCHAR) AS id,
        CASE WHEN shape = 'FURNITURE' THEN 'shape is not known' ELSE '' END AS message
 FROM raw""")
 
+_add("resolve_refs_of_rows", """
+SELECT CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS event_key, p_name || ',' || p_name AS titles,
+       (p_partkey * 1000001) || ',' || (p_partkey * 1000001) AS micros
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+
+# What the domain says of an event that keeps the contract.
+LINKED = RAW + """,
+linked AS (
+  SELECT *, concat_ws('; ', CASE WHEN shape = 'FURNITURE' THEN 'shape is not known' END,
+                            CASE WHEN ms IS NULL THEN 'date or time cannot be read' END) AS fault
+  FROM judged WHERE broken = ''
+)"""
+
+_add("linked_events", _with(LINKED), """
+SELECT event_key, ms AS datetime_ms, nullif(shape, '') AS shape,
+       'CATEGORY:' || o_orderpriority || ',FILTER:' || o_orderstatus
+         || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE ',FILTER:' || c_mktsegment END AS associations
+FROM linked WHERE fault = ''""")
+
+_add("rejects_by_table", _with(LINKED), """
+SELECT 'events' AS "table",
+       (SELECT count(*) FROM judged WHERE broken <> '') + (SELECT count(*) FROM linked WHERE fault <> '') AS rejected
+UNION ALL SELECT 'associations', 2
+UNION ALL SELECT 'shapes', 1""")
+
+_add("with_features", """
+SELECT 'associations' AS "table",
+       (SELECT count(DISTINCT o_orderpriority) + count(DISTINCT o_orderstatus) FROM orders)
+       + (SELECT count(DISTINCT c_mktsegment) FROM customer) - 1 AS "rows" """)
+
+_add("custom_fields", _with(RAW), """
+SELECT event_key, upper(shape) AS note, 1 AS tags, CAST(NULL AS VARCHAR) AS page FROM judged WHERE broken = ''""")
+
+_add("dimension_rows", """
+SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN '[7]' ELSE 'STAR' END AS shape,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'shape must be text' ELSE '' END AS type_errors
+FROM supplier""")
+
+_add("later_earlier", """
+SELECT l_orderkey, l_linenumber, epoch_ms(greatest(l_shipdate, o_orderdate)) AS later_ms,
+       epoch_ms(least(l_shipdate, o_orderdate)) AS earlier_ms
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+
+_add("time_order", _with(SPACE), """
+SELECT event_key, row_number() OVER (ORDER BY datetime, event_key) - 1 AS place FROM space""")
+
+_add("default_shapes", "SELECT DISTINCT c_mktsegment AS id FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+
 _add("validate_shapes", """
 SELECT CAST(p_partkey AS VARCHAR) AS id,
        CASE WHEN p_size < 10 OR p_size >= 40 THEN 'a shape must be given' ELSE '' END AS message

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,9 +13,12 @@ from eventscope.functions.text import snippets
 from eventscope.operators import (
     contracts, groups, hierarchy, links, logfields, selection, sequences, sessions, spatial, timeline,
 )
+from eventscope.operators.ordering import numbered
 from eventscope.plans import flows
+from eventscope.plans.domain import link_domain
 from eventscope.plans.view import View
 from eventscope.sources import payloads
+from eventscope.sources.dimensions import rows_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +231,26 @@ def resolve_refs_by_join(spark, sf):
     return linked.select("event_key", F.array_join(shown, ",").alias("associations"))
 
 
+@query
+def resolve_refs_of_rows(spark, sf):
+    """Ids that are numbers, rows without a key or with one key, exact times."""
+    part = t.table(spark, sf, "part")
+    named = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
+        F.timestamp_micros(F.col("p_partkey") * 1_000_001).alias("seen"),
+    )
+    lines = t.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") != 2, F.col("l_orderkey")).alias("event_key"),
+        F.array("l_partkey", F.lit(-1).cast("long"), "l_partkey").alias("refs"),
+    )
+    linked = links.resolve_refs(lines, "refs", named)
+    micros = F.transform("refs", lambda r: F.unix_micros(r["seen"]).cast("string"))
+    return linked.select(
+        "event_key", F.array_join(F.transform("refs", lambda r: r["title"]), ",").alias("titles"),
+        F.array_join(micros, ",").alias("micros"),
+    )
+
+
 def _shapes(spark, sf):
     """Market segments as shapes, but for one."""
     customer = t.table(spark, sf, "customer")
@@ -241,6 +265,83 @@ def resolve_shape(spark, sf):
     return good.unionByName(rejects.select("id", F.lit(None).alias("title"), "message"))
 
 
+def _domain(spark, sf):
+    """Orders linked to associations, one defined twice and one without a title, and to
+    shapes, one without a form."""
+    known = t.association_table(spark, sf).withColumn("pos", F.lit(0))
+    known = known.withColumn("title", F.when(F.col("id") != "segment:BUILDING", F.col("title")))
+    again = known.where("id = 'status:O'").withColumns({"pos": F.lit(1), "title": F.lit("again")})
+    shapes = _shapes(spark, sf)
+    bad = shapes.where("id = 'BUILDING'").withColumns({"id": F.lit("formless"), "shape": F.lit("")})
+    tables = {"associations": known.unionByName(again), "shapes": shapes.unionByName(bad)}
+    return link_domain(t.raw_events(spark, sf), tables, event_key="event_key")
+
+
+@query
+def linked_events(spark, sf):
+    shown = F.transform("associations", lambda a: F.concat(a["mode"], F.lit(":"), a["title"]))
+    return _domain(spark, sf).events.select(
+        "event_key", millis("datetime").alias("datetime_ms"), F.col("shape.title").alias("shape"),
+        F.array_join(shown, ",").alias("associations"),
+    )
+
+
+@query
+def rejects_by_table(spark, sf):
+    return _domain(spark, sf).rejects_summary()
+
+
+@query
+def with_features(spark, sf):
+    domain = _domain(spark, sf).with_features(shapes=False, associations=True)
+    return reduce(DataFrame.unionByName, [
+        getattr(domain, name).groupBy(F.lit(name).alias("table")).agg(F.count(F.lit(1)).alias("rows"))
+        for name in ("associations", "shapes")
+    ])
+
+
+@query
+def custom_fields(spark, sf):
+    events = t.raw_events(spark, sf).withColumns({"note": F.upper("shape"), "tags": F.array("time")})
+    ok, _ = contracts.validate_events(events, [("note", "text"), ("tags", "list"), ("page", "link")])
+    return ok.select("event_key", "note", F.size("tags").alias("tags"), "page")
+
+
+@query
+def dimension_rows(spark, sf):
+    """Suppliers as shapes in one document per nation, some with a number for a form."""
+    number = F.col("s_suppkey").cast("string")
+    form = F.when(F.col("s_suppkey") % 3 == 0, F.lit("[7]")).otherwise(F.lit('"STAR"'))
+    item = F.concat(F.lit('{"id":"'), number, F.lit('","title":"'), "s_name", F.lit('","shape":'), form, F.lit("}"))
+    docs = t.table(spark, sf, "supplier").groupBy("s_nationkey").agg(
+        F.try_parse_json(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]"))).alias("doc")
+    )
+    return rows_of(docs, "shapes").select(
+        "id", "title", "shape", F.array_join("type_errors", ",").alias("type_errors")
+    )
+
+
+@query
+def later_earlier(spark, sf):
+    lines = t.table(spark, sf, "lineitem").join(t.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    times = {"later": v.later("l_shipdate", "o_orderdate"), "earlier": v.earlier("l_shipdate", "o_orderdate")}
+    return lines.withColumns(times).select(
+        "l_orderkey", "l_linenumber", millis("later").alias("later_ms"), millis("earlier").alias("earlier_ms")
+    )
+
+
+@query
+def time_order(spark, sf):
+    """The place of each row in the sorted rows."""
+    placed = contracts.in_time_order(t.space_events(spark, sf)).withColumn("_at", F.monotonically_increasing_id())
+    return numbered(placed, [], ["_at"], index="place", bucket=F.shiftright("_at", 33)).select("event_key", "place")
+
+
+@query
+def default_shapes(spark, sf):
+    return contracts.default_shapes(_shapes(spark, sf))
+
+
 @query
 def validate_shapes(spark, sf):
     shapes = t.table(spark, sf, "part").select(
