@@ -136,6 +136,25 @@ def by_pattern(text, query):
     return ["..." + h for h in hits] or [re.match(r"(([^ ]* ){0,10})", text).group(1)]
 
 
+def test_hits_in_long_runs_of_letters():
+    import time
+
+    from eventscope.functions.text import hits_with_words
+
+    long = "q" * 1_000_000
+    texts = [
+        (long, 0), (f"fire {long}", 1), (f"one {long} fire two", 1), (f"{long}fire", 1),
+        (f"a b c d {long}", 0), ("fire" * 100_000, 1), ("x.fire" * 100_000, 100_000),
+    ]
+    started = time.perf_counter()
+    assert [len(hits_with_words(text, "fire")) for text, _ in texts] == [n for _, n in texts]
+    assert time.perf_counter() - started < 7
+    short = [t.replace(long, "q" * 40)[:400] for t, _ in texts]
+    assert [["..." + h for h in hits_with_words(t, "fire")] for t in short if "fire" in t] == [
+        by_pattern(t, "fire") for t in short if "fire" in t
+    ]
+
+
 @pytest.mark.parametrize("query", ["fire", "a.b", "in the", "x", "é", "fir(e", " x", "the ", "Re w"])
 def test_snippets_equal_the_plain_pattern(spark, query):
     import random
