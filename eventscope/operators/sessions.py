@@ -144,17 +144,23 @@ def build_sessions(
     if not event_ids:
         return sessions_from_parts(session_parts(log, keys, connect, closed, ladder), keys, ladder)
     by_type = session_parts(log, [*keys, "eventid"], connect, closed, ladder)
+    return sessions_from_parts(parts_with_types(by_type, keys, event_order), keys, ladder)
+
+
+def parts_with_types(
+    by_type: DataFrame, keys: Sequence[str] = ("session",), event_order: Sequence[str] = fixed.EVENT_ORDER
+) -> DataFrame:
+    """Parts of sessions from parts of their event types, with ``event_ids`` in display order."""
     shown = F.struct(
         type_rank("eventid", event_order).alias("rank"),
         F.struct("first.ms", "first.pos").alias("seen"),
         "eventid",
     )
-    parts = by_type.groupBy(*keys).agg(
+    return by_type.groupBy(*keys).agg(
         *_merging(by_type),
         # As long as the list of event types, not as the session.
         F.transform(F.array_sort(F.collect_list(shown)), lambda g: g["eventid"]).alias("event_ids"),
     )
-    return sessions_from_parts(parts, keys, ladder)
 
 
 def type_rank(eventid="eventid", event_order: Sequence[str] = fixed.EVENT_ORDER) -> Column:
@@ -176,6 +182,18 @@ def session_groups(
     groups = log.groupBy(*keys, "eventid").agg(
         F.count(F.lit(1)).alias("event_count"), F.min(F.struct("ms", "pos")).alias("seen")
     )
+    return _shown_groups(groups, keys, event_order)
+
+
+def groups_from_parts(
+    by_type: DataFrame, keys: Sequence[str] = ("session",), event_order: Sequence[str] = fixed.EVENT_ORDER
+) -> DataFrame:
+    """``session_groups`` from parts by session and event type."""
+    groups = by_type.select(*keys, "eventid", "event_count", F.struct("first.ms", "first.pos").alias("seen"))
+    return _shown_groups(groups, keys, event_order)
+
+
+def _shown_groups(groups: DataFrame, keys: Sequence[str], event_order: Sequence[str]) -> DataFrame:
     shown = Window.partitionBy(*keys).orderBy(type_rank("eventid", event_order), "seen")
     return groups.withColumn("group_idx", F.row_number().over(shown) - 1).select(
         *keys, "group_idx", "eventid", "event_count"

@@ -1,7 +1,7 @@
 """Sessions of a log that keeps coming.
 
-Each micro-batch writes what it says about its sessions (``session_parts``) to a folder of
-its own; the sessions so far are the merged parts. Parts are minima, maxima and sums, so
+Each micro-batch writes what it says about its sessions (``session_parts``), by event type,
+to a folder of its own; the sessions, groups and events so far come from the merged parts. Parts are minima, maxima and sums, so
 they merge in any order, late lines included, no state grows in the stream, and a batch
 that is run again after a failure overwrites its own folder.
 """
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.operators.sessions import (
-    clean_log, merge_parts, session_parts, sessions_from_parts,
+    clean_log, groups_from_parts, merge_parts, parts_with_types, session_parts, sessions_from_parts,
+    sessions_to_events,
 )
 
 
@@ -33,21 +34,41 @@ def write_parts(
     """The query that turns a log stream into parts; the caller sets its trigger and starts it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        parts = session_parts(clean_log(batch), keys, connect, closed, ladder)
+        parts = session_parts(clean_log(batch), [*keys, "eventid"], connect, closed, ladder)
         parts.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def parts_so_far(spark: SparkSession, folder: str, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """One row per session and event type."""
+    return merge_parts(spark.read.parquet(folder).drop("batch"), [*keys, "eventid"])
+
+
 def sessions_so_far(
-    spark: SparkSession, folder: str, keys: Sequence[str] = ("session",), ladder=fixed.STAGES
+    spark: SparkSession, folder: str, keys: Sequence[str] = ("session",), ladder=fixed.STAGES,
+    event_order: Sequence[str] = fixed.EVENT_ORDER,
+) -> DataFrame:
+    """Sessions with their event types in display order."""
+    return sessions_from_parts(
+        parts_with_types(parts_so_far(spark, folder, keys), keys, event_order), keys, ladder
+    )
+
+
+def groups_so_far(
+    spark: SparkSession, folder: str, keys: Sequence[str] = ("session",),
+    event_order: Sequence[str] = fixed.EVENT_ORDER,
+) -> DataFrame:
+    return groups_from_parts(parts_so_far(spark, folder, keys), keys, event_order)
+
+
+def events_so_far(
+    spark: SparkSession, folder: str, keys: Sequence[str] = ("session",), ladder=fixed.STAGES, **options
 ) -> DataFrame:
-    parts = spark.read.parquet(folder).drop("batch")
-    return sessions_from_parts(merge_parts(parts, keys), keys, ladder)
+    return sessions_to_events(sessions_so_far(spark, folder, keys, ladder), **options)
 
 
 def compact_parts(spark: SparkSession, folder: str, target: str, keys: Sequence[str] = ("session",)) -> None:
-    """Many small batches as one row per session, in a new folder. Stop the stream before,
-    and let it go on writing to ``target``."""
-    merged = merge_parts(spark.read.parquet(folder).drop("batch"), keys)
-    merged.write.mode("overwrite").parquet(f"{target}/batch=-1")
+    """Many small batches as one row per session and type, in a new folder. Stop the stream
+    before, and let it go on writing to ``target``."""
+    parts_so_far(spark, folder, keys).write.mode("overwrite").parquet(f"{target}/batch=-1")

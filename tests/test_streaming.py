@@ -31,9 +31,15 @@ def test_stream_equals_batch(spark, tmp_path):
     write(source, "2.json", numbered[3:])
     run()
     everything = spark.read.schema(SCHEMA).json(str(source))
-    expected = sessions.build_sessions(sessions.clean_log(everything)).collect()
-    assert sorted(streaming.sessions_so_far(spark, str(parts)).collect()) == sorted(expected)
-
+    log = sessions.clean_log(everything)
     compact = tmp_path / "compact"
     streaming.compact_parts(spark, str(parts), str(compact))
-    assert sorted(streaming.sessions_so_far(spark, str(compact)).collect()) == sorted(expected)
+
+    def same(got, expected):
+        assert got.columns == expected.columns
+        assert sorted(got.collect(), key=repr) == sorted(expected.collect(), key=repr)
+
+    for folder in (parts, compact):
+        same(streaming.sessions_so_far(spark, str(folder)), sessions.build_sessions(log, event_ids=True))
+        same(streaming.groups_so_far(spark, str(folder)), sessions.session_groups(log))
+        same(streaming.events_so_far(spark, str(folder)), sessions.log_to_events(everything))
