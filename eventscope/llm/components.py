@@ -9,21 +9,19 @@ def component_names(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``name`` for every node with a link; nodes have one name if links join them.
 
     Each round gives every group of nodes the name of the neighbour, or itself, that comes
-    first in a new random order, and keeps the links between different names; a path
-    shrinks by a constant factor, a star in one round. Rounds are saved, so a lost executor
-    never sets the rounds back. The name means nothing beyond that.
+    first in a random but fixed order, and keeps the links between different names. A star
+    takes two rounds, a path shrinks by a constant factor. Rounds are saved, so a lost
+    executor never sets them back. The name means nothing beyond that.
     """
     links = saved(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
     named = saved(
         links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("name", F.col("node"))
     )
-    turn = 0
-    while not links.isEmpty():
-        turn += 1
 
-        def ranked(column):
-            return F.struct(F.xxhash64(column, F.lit(turn)).alias("rank"), F.col(column).alias("to"))
+    def ranked(column):
+        return F.struct(F.xxhash64(column).alias("rank"), F.col(column).alias("to"))
 
+    while not links.isEmpty():
         both = links.union(links.select("b", "a").toDF("a", "b"))
         first = saved(
             both.groupBy("a")
