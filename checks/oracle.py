@@ -677,16 +677,20 @@ span AS (
   SELECT customer, min(ms) AS s, max(ms) AS e, row_number() OVER (ORDER BY min(ms), min(event_key)) AS n
   FROM space WHERE latitude = '' AND longitude = '' GROUP BY customer
 ),
-laid(n, customer, place, ends) AS (
-  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+opened AS (
+  SELECT a.n - 1 AS i, customer, a.n - (SELECT count(*) FROM span b WHERE b.e < a.s) AS load FROM span a
+),
+lanes AS (
+  SELECT *, coalesce(max(load) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM opened
+),
+ended AS (SELECT n - 1 AS i, row_number() OVER (ORDER BY e, n) - 1 AS rank FROM span),
+laid(i, customer, lane) AS (
+  SELECT i, customer, used FROM lanes WHERE load > used
   UNION ALL
-  SELECT n, customer, place, list_concat(ends[1:place - 1], [e], ends[place + 1:])
-  FROM (
-    SELECT span.n, span.customer, span.e, ends,
-           CAST(coalesce(list_position(list_transform(ends, lambda x: x < span.s), true), len(ends) + 1) AS BIGINT) AS place
-    FROM laid JOIN span ON span.n = laid.n + 1)
+  SELECT l.i, l.customer, c.lane
+  FROM laid c JOIN ended d ON d.i = c.i JOIN lanes l ON l.load <= l.used AND l.i - l.used = d.rank
 )"""), """
-SELECT customer AS project, place - 1 AS lane, (place - 1) * 16 AS "offset" FROM laid WHERE n > 0""")
+SELECT customer AS project, lane, lane * 16 AS "offset" FROM laid""")
 
 # Lanes needed = greatest number of spans open at one time; ends count as open.
 _add("lanes_used", _with(SESSIONS + """,

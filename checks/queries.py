@@ -856,9 +856,7 @@ def lanes_used(spark, sf):
         F.col("session").alias("project"), F.col("start_datetime").alias("start"),
         F.col("end_datetime").alias("end"), F.col("session").alias("first_key"),
     )
-    return timeline.assign_lanes(spans).agg(
-        (F.max("lane") + 1).alias("lanes"), F.count(F.lit(1)).alias("spans")
-    )
+    return timeline.lanes_needed(spans)
 
 
 @query

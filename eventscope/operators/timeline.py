@@ -1,14 +1,13 @@
 """Density of the timeline, and the lanes of project spans."""
 
-import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventscope import fixed_values as fixed
 from eventscope.operators.ordering import range_sorted
+from eventscope.session import use_checkpoint_folder
 
 
 def activity(events: DataFrame, minutes: int, track: str = "track", time: str = "datetime") -> DataFrame:
@@ -71,38 +70,77 @@ def islands(spans: DataFrame, order: Sequence[str] = SPAN_ORDER) -> DataFrame:
     )
 
 
+def _swept(spans: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Spans with their number ``_i`` in order, and their starts and ends in time: ``ended``
+    spans before, ``load`` (spans open with this one, for starts) and ``used``, the greatest
+    load before. An end at the time of a start counts after it.
+
+    Both are sorted over all tasks; what earlier tasks hold comes from tables with one row
+    per task.
+    """
+    rows = range_sorted(spans, order)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = rows.join(F.broadcast(bases), "_part").withColumn(
+        "_i", F.col("_base") + F.col("_place") - F.col("_first")
+    ).drop("_place", "_part", "_first", "_base")
+
+    both = F.array(
+        F.struct(F.col("start").alias("time"), F.lit(0).alias("is_end")),
+        F.struct(F.col("end").alias("time"), F.lit(1).alias("is_end")),
+    )
+    times = range_sorted(numbered.select("_i", F.inline(both)), ["time", "is_end", "_i"])
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    ends = times.groupBy("_part").agg(F.sum("is_end").alias("_n"))
+    bases = ends.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ended = times.join(F.broadcast(bases), "_part").withColumn(
+        "ended", F.col("_base") + F.coalesce(F.sum("is_end").over(inside), F.lit(0))
+    )
+    loaded = ended.withColumn("load", F.when(F.col("is_end") == 0, F.col("_i") + 1 - F.col("ended")))
+    tops = loaded.groupBy("_part").agg(F.max("load").alias("_top"))
+    bases = tops.select("_part", F.coalesce(F.max("_top").over(before), F.lit(0)).alias("_used"))
+    swept = loaded.join(F.broadcast(bases), "_part").select(
+        "_i", "is_end", "ended", "load",
+        F.greatest(F.col("_used"), F.coalesce(F.max("load").over(inside), F.lit(0))).alias("used"),
+    )
+    return numbered, swept
+
+
+def lanes_needed(spans: DataFrame, order: Sequence[str] = SPAN_ORDER) -> DataFrame:
+    """One row: the greatest number of spans open at a time, and how many there are."""
+    _, swept = _swept(spans, order)
+    starts = swept.where("is_end = 0")
+    return starts.agg(F.max("load").alias("lanes"), F.count(F.lit(1)).alias("spans"))
+
+
 def assign_lanes(
     spans: DataFrame, lane_size: int = 1, order: Sequence[str] = SPAN_ORDER
 ) -> DataFrame:
-    """Lay spans in lanes: by start, each in the lowest lane whose last span ended before
-    it starts. ``offset`` is the lane times ``lane_size``.
+    """Lay spans in lanes, as few as can be: by start, each in the lane that has been free
+    for longest, or in a new one if all are taken. A lane is free once its last span ended
+    before. ``offset`` is the lane times ``lane_size``.
 
-    Lanes never carry over from one island to the next, so islands are laid in parallel.
-    Within an island each choice hangs on the one before; its spans pass through in sorted
-    batches and only the open lanes are held.
+    The k-th span that finds a free lane takes that of the k-th span to end, so a lane is a
+    chain of matched ranks. Chains are followed by doubling: rounds grow with the logarithm
+    of the longest, and each is saved.
     """
-    laid = islands(spans, order)
-    schema = laid.schema.add("lane", "long")
-    by_island = laid.repartition("island").sortWithinPartitions("island", *order)
-    return by_island.mapInPandas(_first_fit, schema).drop("island").withColumn(
+    use_checkpoint_folder(spans.sparkSession)
+    numbered, swept = _swept(spans, order)
+    starts, ends = swept.where("is_end = 0"), swept.where("is_end = 1")
+    opens = F.col("load") > F.col("used")
+    first = starts.where(opens).select("_i", F.col("_i").alias("_before"), F.col("used").alias("lane"))
+    later = starts.where(~opens).select("_i", (F.col("_i") - F.col("used")).alias("_rank")).join(
+        ends.select(F.col("_i").alias("_before"), F.col("ended").alias("_rank")), "_rank"
+    )
+    chains = first.unionByName(later.select("_i", "_before", F.lit(None).cast("long").alias("lane"))).checkpoint()
+    while not chains.where(F.col("lane").isNull()).isEmpty():
+        back = chains.select(
+            F.col("_i").alias("_before"), F.col("_before").alias("_far"), F.col("lane").alias("_lane")
+        )
+        chains = chains.join(back, "_before").select(
+            "_i", F.col("_far").alias("_before"), F.coalesce("lane", "_lane").alias("lane")
+        ).checkpoint()
+    return numbered.join(chains.select("_i", "lane"), "_i").drop("_i").withColumn(
         "offset", F.col("lane") * lane_size
     )
-
-
-def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    island, used, ending, free = None, 0, [], []
-    for batch in batches:
-        lanes = []
-        columns = (batch[c].to_numpy().tolist() for c in ("island", "start", "end"))
-        for here, start, end in zip(*columns):
-            if here != island:
-                island, used, ending, free = here, 0, [], []
-            while ending and ending[0][0] < start:
-                heapq.heappush(free, heapq.heappop(ending)[1])
-            if free:
-                lane = heapq.heappop(free)
-            else:
-                lane, used = used, used + 1
-            heapq.heappush(ending, (end, lane))
-            lanes.append(lane)
-        yield batch.assign(lane=lanes)

@@ -340,17 +340,18 @@ def test_selected_clusters_and_view(spark, points):
 
 
 def lanes_by_loop(spans):
-    """Sort by start; lowest lane whose last span ended before."""
-    lanes, out = [], {}
+    """One span at a time; lanes wait in the order in which they came free."""
+    open_spans, free, out, used = [], [], {}, 0
     for key, start, end in sorted(spans, key=lambda s: (s[1], s[0])):
-        for i, last in enumerate(lanes):
-            if last < start:
-                break
+        over = sorted(s for s in open_spans if s[0] < start)
+        open_spans = [s for s in open_spans if s[0] >= start]
+        free += [lane for *_, lane in over]
+        if free:
+            lane = free.pop(0)
         else:
-            i = len(lanes)
-            lanes.append(None)
-        lanes[i] = end
-        out[key] = i
+            lane, used = used, used + 1
+        open_spans.append((end, start, key, lane))
+        out[key] = lane
     return out
 
 
