@@ -12,7 +12,6 @@ than pieces. Pieces then take the slots of their length by rank.
 """
 
 import bisect
-import itertools
 import json
 import math
 import re
@@ -36,13 +35,13 @@ KNAPSACKS = 4
 # Pieces of one length are ranked in this many parts, so a length that holds a third of
 # all rows is not one task.
 CELLS = 32
-# Words and units of words that a worker remembers, and bytes of text coded at once.
-REMEMBERED, REMEMBERED_UNITS, REMEMBERED_LETTERS = 1 << 19, 1 << 19, 48
-CODED_BYTES = 8 << 20
+# Units of words that a worker remembers, and bytes of text coded at once.
+REMEMBERED = 1 << 19
+CODED_BYTES = 12 << 20
 
 # The units of a tokenizer for which plain words have the short way.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([!-&(-/:-@\[-`{-~]*)")
 
 Configuration = tuple[int, ...]
 
@@ -53,64 +52,84 @@ Configuration = tuple[int, ...]
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and joins no tokens across it.
 
-    Blank, tab and line end always divide its tokens, so what stands between them is
-    coded once and remembered. Plain words, letters with ASCII punctuation behind them,
-    are one or two units of its merges; they need no other step of the tokenizer.
+    Blank, tab and line end always divide its tokens, so a stretch of text is cut there
+    and each unlike word is coded once. Plain words, Latin letters with ASCII punctuation
+    behind them, are one or two units of its merges; units are remembered, and need no
+    other step of the tokenizer. All other words take every step.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.plain = _splits_like_this(json.loads(definition))
 
     def _unit(self, unit: str) -> bytes:
-        if len(self.units) >= REMEMBERED_UNITS:
+        if len(self.units) >= REMEMBERED:
             self.units.clear()
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(unit)])
-        self.units[unit] = ids
+        tokens = self.tokenizer.model.tokenize("".join([BYTE_LETTERS[b] for b in unit.encode()]))
+        ids = self.units[unit] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         return ids
 
-    def _code(self, words: list[str]) -> dict[str, bytes]:
-        coded, rest, units, unit = {}, [], self.units, self._unit
+    def _code(self, words: list[str]) -> list[bytes]:
+        coded, rest, units, unit = [], [], self.units, self._unit
         plain = PLAIN_WORD.fullmatch if self.plain else lambda word: None
         for word in words:
-            found = plain(word)
-            if found is None:
-                rest.append(word)
-                continue
-            letters, marks = found.groups()
-            letters = letters.lower()
-            ids = units.get(letters) or unit(letters)
-            coded[word] = ids + (units.get(marks) or unit(marks)) if marks else ids
-        for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            coded[word] = np.array(code.ids, dtype="<u4").tobytes()
+            ids = units.get(word)
+            if ids is None:
+                found = plain(word)
+                if found is None:
+                    rest.append(len(coded))
+                else:
+                    letters, marks = found.groups()
+                    letters = letters.lower()
+                    ids = units.get(letters) or unit(letters)
+                    if marks:
+                        ids += units.get(marks) or unit(marks)
+            coded.append(ids)
+        for i, code in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            coded[i] = np.array(code.ids, dtype="<u4").tobytes()
         return coded
 
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Words of each text. ASCII capitals are made small here where that changes nothing:
+        without combining marks, that might join either case differently, and without
+        what may be a special token."""
+        texts = pa.concat_arrays([texts.fill_null("")])
+        offsets, data = texts.buffers()[1:]
+        raw = np.frombuffer(data or b"", dtype=np.uint8)
+        lower = self.plain and not (
+            (raw == 0xCC).any() or (raw == 0xCD).any() or pc.any(pc.match_substring(texts, "<|")).as_py()
+        )
+        raw = (BLANKS_AND_SMALL if lower else BLANKS)[raw]
+        clean = pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(raw)])
+        return pc.split_pattern(clean, " ")
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (unsigned, 32 bits), and where each text's ids end."""
-        texts = texts.fill_null("")
-        for blank in ("\n", "\t"):
-            texts = pc.replace_substring(texts, blank, " ")
-        split = pc.split_pattern(texts, " ")
+        split = self._cut(texts)
         words = split.flatten().dictionary_encode()
-        unlike = words.dictionary.to_pylist()
-        ids = list(map(self.known.get, unlike))
-        new = [w for w, i in zip(unlike, ids) if i is None]
-        if new:
-            coded = self._code(new)
-            ids = [coded[w] if i is None else i for w, i in zip(unlike, ids)]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            short = (item for item in coded.items() if len(item[0]) <= REMEMBERED_LETTERS)
-            self.known.update(itertools.islice(short, REMEMBERED))
-        parts = pa.array(ids, pa.binary()).take(words.indices)
+        parts = pa.array(self._code(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy() >> 2)])
         in_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
         data = parts.buffers()[2] if len(parts) else None
         return np.frombuffer(data or b"", dtype="<u4", count=int(ends[-1])), ends[in_text[1:]]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: the byte's own where it
+    prints, else the next one from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+BLANKS = np.arange(256, dtype=np.uint8)
+BLANKS[[9, 10]] = 32
+BLANKS_AND_SMALL = BLANKS.copy()
+BLANKS_AND_SMALL[65:91] += 32
+
+
 def _splits_like_this(definition: dict) -> bool:
     """Whether the tokenizer lower-cases, and takes runs of letters and of other marks as
     units; apostrophes, digits and what is not ASCII are left to it in any case."""
