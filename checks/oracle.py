@@ -121,7 +121,11 @@ _HEADER = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", None, None, N
 _add("session_header", _with(SESSIONS), "\nUNION ALL\n".join(
     f"SELECT session, {place} AS place, '{name}' AS field, {name} AS value FROM per_session WHERE {name} <> ''"
     for place, name in enumerate(_HEADER) if name
-))
+) + """
+UNION ALL SELECT session, 8, 'timestamp', CAST(start_ts AS VARCHAR) FROM per_session
+UNION ALL
+SELECT session, 9, 'duration', CASE WHEN d = floor(d) THEN CAST(CAST(d AS BIGINT) AS VARCHAR) ELSE CAST(d AS VARCHAR) END
+FROM (SELECT session, coalesce(closed, (end_ms - start_ms) / 1000.0) AS d FROM per_session)""")
 
 _add("session_cards", _with(SESSIONS), "SELECT count(*) AS cards FROM per_session")
 
@@ -344,11 +348,14 @@ for _name, _text in (("search_documents", "src1"), ("search_text", "tion")):
 SELECT doc_id FROM documents
 WHERE contains(lower(text), '{_text}') OR contains(lower(source), '{_text}') OR contains(lower(lang), '{_text}')""")
 
-_add("search_snippets", """
+# A hit takes the letters on both sides, up to six words before and up to five after.
+_LETTERS, _BEFORE, _AFTER = "[a-zA-Z]*", "([^ ]* ){0,6}", "( [^ ]*){0,5}"
+_HIT = f"({_BEFORE}{_LETTERS}tion{_LETTERS}{_AFTER})"
+_add("search_snippets", f"""
 SELECT doc_id, CAST(len(hits) AS INTEGER) AS hits, md5(array_to_string(hits, '|')) AS digest FROM (
   SELECT doc_id, CASE WHEN contains(lower(text), 'tion')
-    THEN list_transform(regexp_extract_all(lower(text), '(([^ ]* ){0,6}[a-zA-Z]*tion[a-zA-Z]*( [^ ]*){0,5})', 1), lambda x: '...' || x)
-    ELSE [regexp_extract(text, '^(([^ ]* ){0,10})', 1)] END AS hits
+    THEN list_transform(regexp_extract_all(lower(text), '{_HIT}', 1), lambda x: '...' || x)
+    ELSE [regexp_extract(text, '^(([^ ]* ){{0,10}})', 1)] END AS hits
   FROM documents)""")
 
 # Links

@@ -89,8 +89,7 @@ def session_events(spark, sf):
 
 @query
 def session_header(spark, sf):
-    header = sessions.session_header(built(spark, sf))
-    return header.where(~F.col("field").isin("timestamp", "duration"))
+    return sessions.session_header(built(spark, sf))
 
 
 @query

@@ -134,3 +134,27 @@ MEDIA_TYPES_SHORT = [
     (r"\.md$", "Text"),
 ]
 TWEET_ID = r"https?://twitter.com/[0-9a-zA-Z_]{1,20}/status/([0-9]*)"
+
+# Text and list fields of an event.
+EVENT_TEXT = [
+    "id", "description", "date", "time", "time_precision", "location", "latitude",
+    "longitude", "x", "y", "z", "type", "category", "category_full", "comments",
+    "time_display", "shape", "colour",
+]
+EVENT_LISTS = ["associations", "sources", "narrative___stepStyles"]
+
+# Text and list fields of the lookup tables.
+DIMENSION_TEXT = {
+    "associations": ["id", "title", "desc", "mode"],
+    "sites": ["id", "description", "site", "latitude", "longitude", "enabled"],
+    "sources": ["id", "title", "thumbnail", "type", "url", "description", "parent", "author", "date", "notes"],
+    "regions": ["name"],
+    "shapes": ["id", "title", "shape", "colour"],
+}
+DIMENSION_LISTS = {
+    "associations": ["filter_paths"],
+    "sites": [],
+    "sources": ["paths", "affil_s"],
+    "regions": ["items"],
+    "shapes": [],
+}

@@ -30,12 +30,8 @@ class Contract:
 
 EVENT = Contract(
     "events",
-    text=[
-        "id", "description", "date", "time", "time_precision", "location", "latitude",
-        "longitude", "x", "y", "z", "type", "category", "category_full", "comments",
-        "time_display", "shape", "colour",
-    ],
-    lists=["associations", "sources", "narrative___stepStyles"],
+    fixed.EVENT_TEXT,
+    fixed.EVENT_LISTS,
     required=["description"],
     rules=[
         (
@@ -45,29 +41,22 @@ EVENT = Contract(
         ("date or latitude must be given", "date is null and latitude is null"),
     ],
 )
+
+
+def _dimension(table: str, **rules) -> Contract:
+    return Contract(table, fixed.DIMENSION_TEXT[table], fixed.DIMENSION_LISTS[table], **rules)
+
+
 DIMENSIONS = {
-    "associations": Contract(
-        "associations", ["id", "title", "desc", "mode"], ["filter_paths"], ["id", "title", "mode"]
-    ),
-    "sites": Contract(
+    "associations": _dimension("associations", required=["id", "title", "mode"]),
+    "sites": _dimension(
         "sites",
-        ["id", "description", "site", "latitude", "longitude", "enabled"],
         required=["id", "description", "site", "latitude", "longitude"],
         filled=["id", "site", "latitude", "longitude"],
     ),
-    "sources": Contract(
-        "sources",
-        ["id", "title", "thumbnail", "type", "url", "description", "parent", "author", "date", "notes"],
-        ["paths", "affil_s"],
-        ["id", "paths"],
-        filled=["id"],
-    ),
-    "regions": Contract("regions", ["name"], ["items"], ["name", "items"], filled=["name"]),
-    "shapes": Contract(
-        "shapes",
-        ["id", "title", "shape", "colour"],
-        rules=[("a shape must be given", "coalesce(shape, '') = ''")],
-    ),
+    "sources": _dimension("sources", required=["id", "paths"], filled=["id"]),
+    "regions": _dimension("regions", required=["name", "items"], filled=["name"]),
+    "shapes": _dimension("shapes", rules=[("a shape must be given", "coalesce(shape, '') = ''")]),
 }
 
 

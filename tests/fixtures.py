@@ -16,7 +16,7 @@ def c(name):
 
 EXPORT = {
     "full": {
-        "src_ip": "9.9.9.9", "location": "London", "latitude": "51.5134", "longitude": "-0.0890675",
+        "src_ip": "9.9.9.9", "location": "Harbour", "latitude": "38.25", "longitude": "-9.5",
         "events": [
             log_event("full", c("session.closed"), 9.5, duration="9.25", message="closed"),
             log_event("full", c("session.connect"), 1.000100, src_port=4242, dst_ip="10.0.0.1", dst_port=22),
@@ -38,9 +38,18 @@ EXPORT = {
             log_event("tie", c("session.connect"), 1.000100, src_ip="5.5.5.5", sensor="first", src_port="", dst_ip="", dst_port=0),
         ],
     },
-    "undated": {"events": [{"eventid": "a", "timestamp": "nope"}]},
-    "empty": {"events": []},
-    "none": {},
+    "no-times": {"src_ip": "8.8.8.8", "events": [
+        log_event("no-times", c("login.failed"), 1, timestamp="yesterday"),
+        {"eventid": c("command.input"), "session": "no-times", "timestamp": ""},
+        {"eventid": c("login.success"), "session": "no-times"},
+    ]},
+    "part-dated": {"location": "Quay", "events": [
+        log_event("part-dated", c("login.failed"), 2, timestamp="02 o'clock"),
+        log_event("part-dated", "", 3),
+        log_event("part-dated", c("client.version"), 4, src_ip="6.6.6.6"),
+    ]},
+    "quiet": {"src_ip": "7.7.7.7", "events": []},
+    "bare": {"latitude": "1"},
 }
 
 PLAIN = [

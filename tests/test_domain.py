@@ -37,7 +37,7 @@ def by_id(df):
 
 def test_events_are_linked(domain):
     events = by_id(domain.events)
-    assert set(events) == {"a", "b", "full", "tie"}
+    assert set(events) == {"a", "b", "full", "tie", "part-dated"}
     a, b = events["a"], events["b"]
     assert (a.latitude, a.longitude) == ("47.7", "32.25")
     assert a.datetime == dt.datetime(2011, 8, 23, 18, 30) and b.datetime == dt.datetime(2011, 8, 3)
@@ -92,13 +92,13 @@ def test_selection(domain):
         shown = selection.select_events(domain.events, View("2000-01-01", "2030-01-01", **view))
         return sorted(r.id for r in shown.collect())
 
-    assert ids() == ["a", "b", "full", "tie"]
+    assert ids() == ["a", "b", "full", "part-dated", "tie"]
     assert ids(categories=(c("command.input"),)) == ["full"]
     assert ids(filters=("login/success",)) == ["full"]
     assert ids(filters=("a/b/c", "login/success")) == ["a", "full"]
     assert ids(filters=("login/success",), categories=("X",)) == []
     both = View("2026-01-01", "2026-12-31", keep_nonlocated=True)
-    assert sorted(r.id for r in selection.select_events(domain.events, both).collect()) == ["b", "full", "tie"]
+    assert sorted(r.id for r in selection.select_events(domain.events, both).collect()) == ["b", "full", "part-dated", "tie"]
     assert selection.count_located(domain.events, View("2000-01-01", "2030-01-01")).collect()[0].events == 2
     assert domain.events.where(in_range("2011-08-03", "2011-08-23 18:30:00")).count() == 0
 
@@ -113,6 +113,6 @@ def test_stories_and_places(domain):
     steps = sequences.narrative_steps(domain.events).collect()
     assert [(s.narrative_id, s.id, s.step_idx, s.steps) for s in steps] == [("story", "b", 0, 1)]
     places = groups.group_locations(domain.events).collect()
-    assert {p.location: p.events for p in places} == {"Here": 1, "London": 1}
+    assert {p.location: p.events for p in places} == {"Here": 1, "Harbour": 1}
     cards = selection.timeline_events(domain.events)
     assert "session" not in cards.columns

@@ -174,44 +174,38 @@ def test_story_of_filters(stories):
     assert sequences.narrative_from_filters(stories, []).count() == 0
 
 
-def extent_by_loop(steps, limits=None):
-    """Box and time range, step by step."""
-    lo, hi = limits or (steps[0][0], steps[0][0])
-    box = [180.0, 180.0, -180.0, -180.0]
-    for time, lat, lon in steps:
-        lo, hi = min(lo, time), max(hi, time)
-        if lat != "" and lon != "":
-            box = [min(box[0], float(lat)), min(box[1], float(lon)), max(box[2], float(lat)), max(box[3], float(lon))]
-    _, lat, lon = steps[0]
-    if lat != "" and lon != "":
-        for low, at in ((0, float(lat)), (1, float(lon))):
-            below, above = abs(at - box[low]), abs(at - box[low + 2])
-            if below > above:
-                box[low + 2] = at + below
-            if below < above:
-                box[low] = at - above
-    lo -= abs(hi - lo) / 10
-    hi += abs(hi - lo) / 10
-    return [*box, lo, hi]
-
-
 @pytest.mark.parametrize("limits", [None, (T0 - dt.timedelta(days=3), T0 + dt.timedelta(minutes=30))])
 def test_extent(spark, limits):
+    """The box holds every located step; a located first step is its middle; and it is the
+    smallest such box. The time range is that of the steps and the limits, and a tenth more."""
+    def ms(t):
+        return int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
     random.seed(1)
-    rows, expected = [], {}
+    rows, stories = [], {}
     for n in range(40):
-        steps = []
-        for i in range(random.randrange(1, 6)):
+        steps = stories[n] = []
+        for _ in range(random.randrange(1, 6)):
             place = ("", "") if random.random() < 0.4 else (str(random.randrange(-80, 80)), str(random.randrange(-170, 170)))
             steps.append((random.randrange(100), *place))
         steps.sort(key=lambda s: s[0])
-        base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-        in_ms = limits and [int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for t in limits]
-        expected[n] = extent_by_loop([(base + m * 60000, a, b) for m, a, b in steps], in_ms)
         rows += [(n, i, minutes(m), a, b) for i, (m, a, b) in enumerate(steps)]
     df = spark.createDataFrame(rows, "narrative_id int, step_idx int, datetime timestamp, latitude string, longitude string")
     for r in sequences.narrative_extent(df, limits, order=["step_idx"]).collect():
-        assert [r.south, r.west, r.north, r.east, r.start_ms, r.end_ms] == pytest.approx(expected[r.narrative_id])
+        steps = stories[r.narrative_id]
+        for place, low, high in ((1, r.south, r.north), (2, r.west, r.east)):
+            at = [float(s[place]) for s in steps if s[place] != ""]
+            if not at:
+                assert low == 180 and high == -180
+            elif steps[0][place] == "":
+                assert (low, high) == (min(at), max(at))
+            else:
+                reach = max(abs(x - at[0]) for x in at)
+                assert (low, high) == pytest.approx((at[0] - reach, at[0] + reach))
+        times = [ms(minutes(s[0])) for s in steps]
+        first, last = (min(times[0], *times, *map(ms, limits or ())), max(*times, times[0], *map(ms, limits or ())))
+        start = first - (last - first) / 10
+        assert (r.start_ms, r.end_ms) == pytest.approx((start, last + (last - start) / 10))
 
 
 def test_neighbours(spark, many_parts, stories):

@@ -31,12 +31,14 @@ def test_log_keeps_position_and_text(log):
 
 
 def test_only_sessions_with_a_dated_event(built):
-    assert set(built) == {"full", "tie"}
+    assert set(built) == {"full", "tie", "part-dated"}
+    row = built["part-dated"]
+    assert (row.event_count, row.src_ip, row.location, row.duration_sec) == (1, "6.6.6.6", "Quay", 0)
 
 
 def test_envelope_and_connect(built):
     full = built["full"]
-    assert (full.src_ip, full.location, full.latitude) == ("9.9.9.9", "London", "51.5134")
+    assert (full.src_ip, full.location, full.latitude) == ("9.9.9.9", "Harbour", "38.25")
     assert (full.src_port, full.dst_ip, full.dst_port) == ("4242", "10.0.0.1", "22")
     assert (full.event_count, full.duration_sec, full.stage) == (8, 9.25, c("command.input"))
     assert full.start_timestamp == "2026-04-06T12:00:01.000100Z"
@@ -72,19 +74,25 @@ def test_occurrence_index(log):
     assert {(r.session, r.pos, r.occurrence) for r in rows.collect()} == {("full", 2, 0), ("full", 3, 1), ("tie", 0, 0)}
 
 
-@pytest.mark.parametrize("ids, stage", [
-    (["session.connect"], "session.connect"),
-    (["session.connect", "login.failed"], "login.failed"),
-    (["login.failed", "login.success"], "login.success"),
-    (["login.success", "command.failed"], "command.input"),
-    (["command.input", "direct-tcpip.data"], "direct-tcpip.request"),
-    (["command.input", "session.file_upload"], "session.file_download"),
-    (["session.file_download.failed"], "session.file_download"),
-    (["log.open"], "session.connect"),
-])
-def test_stage(spark, ids, stage):
-    log = spark.createDataFrame([("s", c(i)) for i in ids], "session string, eventid string")
-    assert sessions.derive_stage(log).collect()[0].stage == c(stage)
+def examples():
+    """Event ids of each step of the ladder, furthest first: those it names, and some below
+    each of its prefixes."""
+    named = {e for _, ids, _ in fixed.STAGES for e in ids}
+    out = []
+    for stage, ids, prefixes in fixed.STAGES:
+        own = [*ids, *(p + tail for p in prefixes for tail in ("x", "x.y"))]
+        out.append((stage, [e for e in own if e in ids or e not in named]))
+    return out
+
+
+def test_stage_of_every_event_and_of_every_two(spark):
+    """The further of two steps counts, in whatever order they come."""
+    steps = [(place, e) for place, (_, ids) in enumerate(examples()) for e in ids]
+    pairs = [(a, b) for a in steps for b in steps]
+    rows = [(f"{i}", e) for i, pair in enumerate(pairs) for _, e in pair]
+    log = spark.createDataFrame(rows, "session string, eventid string")
+    got = {int(r.session): r.stage for r in sessions.derive_stage(log).collect()}
+    assert got == {i: fixed.STAGES[min(a, b)][0] for i, ((a, _), (b, _)) in enumerate(pairs)}
 
 
 def test_events(log):
