@@ -5,8 +5,7 @@ thresholds t_1 < t_2 < t_3; the expected severity is the sum of the three. Featu
 words and their first four and five letters, so that inflected words share weight.
 
 Labels only say toxic or not. Grade 0 is not toxic; toxic texts get grades 1 to 3 by
-thirds of the share of their words that are marked: that hold a feature which is more
-frequent in toxic texts.
+thirds of the number of their words that hold a feature.
 """
 
 import math
@@ -24,8 +23,9 @@ from eventscope.llm.frames import add_columns, saved
 GRADES = 3
 # About so many labelled rows of each class are learned from, drawn by a hash of the id.
 LEARNED_DOCUMENTS = 10_000
-# Features kept: the ones that tell toxic texts best, in at least so many texts.
-FEATURES, LEAST_TEXTS, LEAST_Z = 2048, 5, 3.0
+# Features kept: those of at least so many texts that are more frequent in toxic ones than
+# chance allows, by the signed root of the likelihood ratio; the best so many of them.
+FEATURES, LEAST_TEXTS, LEAST_ROOT = 2048, 5, 4.5
 STEPS, RATE, RIDGE = 1000, 0.1, 2e-5
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -94,7 +94,7 @@ def _feature_counts(batches):
 
 
 def _rows(number: dict[str, int], marked: set[str]):
-    """For each text: toxic or not, numbers and counts of its features, share of marked words."""
+    """For each text: toxic or not, numbers and counts of its features, count of marked words."""
 
     def run(batches):
         for batch in batches:
@@ -103,8 +103,8 @@ def _rows(number: dict[str, int], marked: set[str]):
                 words = words_of(text)
                 found = [(number[f], n) for f, n in sorted(features(words).items()) if f in number]
                 hits = sum(w + "$" in marked or w[:4] + "*" in marked or w[:5] + "*" in marked for w in words)
-                out.append((bool(toxic), [f for f, _ in found], [n for _, n in found], hits / max(1, len(words))))
-            kinds = [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64()]
+                out.append((bool(toxic), [f for f, _ in found], [n for _, n in found], hits))
+            kinds = [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["toxic", "at", "n", "marked"]
@@ -116,11 +116,9 @@ def _rows(number: dict[str, int], marked: set[str]):
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int):
     """Weights and thresholds by Adam on the mean of the cumulative logistic losses.
 
-    Entry i of the sparse matrix is ``values[i]`` at (``rows[i]``, ``columns[i]``). Classes
-    weigh the same, toxic and not.
+    Entry i of the sparse matrix is ``values[i]`` at (``rows[i]``, ``columns[i]``).
     """
     n = len(grades)
-    weight = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     above = grades[:, None] >= np.arange(1, GRADES + 1)[None, :]
     # Thresholds as the first one and logarithms of the gaps.
     theta = np.concatenate([np.zeros(width), [2.0], np.zeros(GRADES - 1)])
@@ -129,7 +127,7 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
         w, gaps = theta[:width], np.exp(theta[width + 1 :])
         thresholds = theta[width] + np.concatenate([[0.0], np.cumsum(gaps)])
         score = np.bincount(rows, values * w[columns], minlength=n)
-        error = (1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -500, 500))) - above) * weight[:, None]
+        error = (1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -500, 500))) - above) / n
         by_threshold = -error.sum(axis=0)
         gradient = np.concatenate([
             np.bincount(columns, values * error.sum(axis=1)[rows], minlength=width) + RIDGE * w,
@@ -175,30 +173,40 @@ def learn(
     if len(sizes) < 2:
         return Model()
     p, n = F.col("toxic_texts"), F.col("clean_texts")
-    cells = [p + 0.5, sizes[True] - p + 0.5, n + 0.5, sizes[False] - n + 0.5]
-    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    everyone = sizes[True] + sizes[False]
+
+    def surplus(found, row, column):
+        """A cell of the table against what independence gives it."""
+        return F.when(found > 0, found * F.log(found * everyone / (row * column))).otherwise(0.0)
+
+    toxic, clean, having = F.lit(sizes[True]), F.lit(sizes[False]), p + n
+    ratio = 2 * (
+        surplus(p, toxic, having) + surplus(toxic - p, toxic, everyone - having)
+        + surplus(n, clean, having) + surplus(clean - n, clean, everyone - having)
+    )
+    more = p / toxic > n / clean
     best = (
         sample.mapInArrow(_feature_counts, "feature string, toxic_texts long, clean_texts long")
         .groupBy("feature").agg(F.sum("toxic_texts").alias("toxic_texts"), F.sum("clean_texts").alias("clean_texts"))
         .where(p + n >= LEAST_TEXTS)
         # A repeated text may be in the sample more often than its one label.
         .where((p <= sizes[True]) & (n <= sizes[False]))
-        .select("feature", (odds / F.sqrt(sum(1 / c for c in cells))).alias("z"))
-        .where(F.abs("z") >= LEAST_Z)
-        .orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES)
+        .where(more)
+        .select("feature", F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("root"))
+        .where(F.col("root") >= LEAST_ROOT)
+        .orderBy(F.desc("root"), "feature").limit(FEATURES)
         .collect()
     )
     if not best:
         return Model()
     names = [row["feature"] for row in best]
     number = {f: i for i, f in enumerate(names)}
-    marked = {row["feature"] for row in best if row["z"] > 0}
+    marked = set(names)
     rows = (
-        sample.mapInArrow(_rows(number, marked), "toxic boolean, at array<int>, n array<int>, marked double")
+        sample.mapInArrow(_rows(number, marked), "toxic boolean, at array<int>, n array<int>, marked long")
         .orderBy("toxic", "marked", "at", "n").toPandas()
     )
-    shares = rows.loc[rows["toxic"], "marked"].to_numpy()
-    cuts = np.quantile(shares, [1 / 3, 2 / 3])
+    cuts = np.quantile(rows.loc[rows["toxic"], "marked"].to_numpy(), [1 / 3, 2 / 3])
     grades = np.where(rows["toxic"], 1 + np.searchsorted(cuts, rows["marked"].to_numpy(), side="left"), 0)
     sizes_of = rows["at"].map(len).to_numpy()
     weights, thresholds = fit_ordinal(
