@@ -155,15 +155,17 @@ def edited_texts(df: DataFrame, id: str = "doc_id", text: str = "text", part: in
     def key(column):
         return F.coalesce(F.col(column).cast("string"), F.lit("null")).alias(column + "_key")
 
+    id_back = F.when(F.col("id_key") != "null", F.col("id_key").cast(df.schema[id].dataType))
+
     order = saved(followers(rows.select("id", "digest", F.length("text").alias("size")), "id", "digest", "size"))
-    keyed = rows.select(key("id"), "digest", "id", "text")
+    # Both joins below take just these columns, so that the texts are shuffled once.
+    keyed = rows.select(key("id"), "digest", "text")
     wanted = order.select(
         key("next_id"), F.col("next_digest"), key("id"), F.col("digest").alias("to_digest"),
         F.floor(F.col("size") / part).cast("int").alias("wanted"),
     )
     starts = (
-        keyed.select("id_key", "digest", "text")
-        .join(
+        keyed.join(
             wanted.withColumnRenamed("id_key", "to_key"),
             (F.col("id_key") == F.col("next_id_key")) & (F.col("digest") == F.col("next_digest")),
         )
@@ -177,5 +179,7 @@ def edited_texts(df: DataFrame, id: str = "doc_id", text: str = "text", part: in
     return (
         keyed.join(starts, (F.col("id_key") == F.col("to_key")) & (F.col("digest") == F.col("to_digest")))
         .join(nexts, (F.col("id_key") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")))
-        .select("id", "digest", "text", F.concat(kept, "start").alias("edited"), "next_id", "next_digest")
+        .select(
+            id_back.alias("id"), "digest", "text", F.concat(kept, "start").alias("edited"), "next_id", "next_digest"
+        )
     )
