@@ -107,6 +107,16 @@ def _swept(spans: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame
     return numbered, swept
 
 
+def _doubled(chains: DataFrame) -> DataFrame:
+    """Chains whose links reach twice as far; a lane that is known goes along."""
+    back = chains.select(
+        F.col("_i").alias("_before"), F.col("_before").alias("_far"), F.col("lane").alias("_lane")
+    )
+    return chains.join(back, "_before").select(
+        "_i", F.col("_far").alias("_before"), F.coalesce("lane", "_lane").alias("lane")
+    )
+
+
 def lanes_needed(spans: DataFrame, order: Sequence[str] = SPAN_ORDER) -> DataFrame:
     """One row: the greatest number of spans open at a time, and how many there are."""
     _, swept = _swept(spans, order)
@@ -135,12 +145,7 @@ def assign_lanes(
     )
     chains = first.unionByName(later.select("_i", "_before", F.lit(None).cast("long").alias("lane"))).checkpoint()
     while not chains.where(F.col("lane").isNull()).isEmpty():
-        back = chains.select(
-            F.col("_i").alias("_before"), F.col("_before").alias("_far"), F.col("lane").alias("_lane")
-        )
-        chains = chains.join(back, "_before").select(
-            "_i", F.col("_far").alias("_before"), F.coalesce("lane", "_lane").alias("lane")
-        ).checkpoint()
+        chains = _doubled(_doubled(chains)).checkpoint()
     return numbered.join(chains.select("_i", "lane"), "_i").drop("_i").withColumn(
         "offset", F.col("lane") * lane_size
     )
