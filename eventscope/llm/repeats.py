@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -104,6 +105,8 @@ def _send(buckets: int):
         wanted = np.isin(keys, np.concatenate(elsewhere)) | bwt.several_documents(keys, found.doc)
         found, keys = found[wanted], keys[wanted]
         contexts = bwt.contexts(page, found)
+        # Contexts are most of what is shuffled.
+        pack = zstandard.ZstdCompressor(level=1).compress
         first, same_document, own = bwt.fold(page, found, contexts)
 
         follows = np.flatnonzero(~own & same_document)
@@ -120,7 +123,7 @@ def _send(buckets: int):
             part = sent[at]
             bounds = np.stack([found.low[part], found.high[part]]).astype(np.uint8)
             rows.append((
-                bucket, number, False, found.place[part].tobytes(), contexts[part].tobytes(),
+                bucket, number, False, found.place[part].tobytes(), pack(contexts[part].tobytes()),
                 page.numbers[found.doc[part]].tobytes(), bounds.tobytes(),
             ))
         return _table(_SENT, rows)
@@ -138,7 +141,8 @@ def _answer(table: pa.Table) -> pa.Table:
             continue
         numbers = np.frombuffer(row["numbers"], np.int64)
         low, high = np.frombuffer(row["bounds"], np.uint8).reshape(2, -1)
-        parts.append((np.frombuffer(row["contexts"], np.uint8).reshape(-1, bwt.WIDTH), numbers, low, high))
+        contexts = zstandard.decompress(row["contexts"])
+        parts.append((np.frombuffer(contexts, np.uint8).reshape(-1, bwt.WIDTH), numbers, low, high))
         owners.append((row["_page"], np.frombuffer(row["places"], np.int64)))
     if parts:
         for (number, places), masks in zip(owners, bwt.repeats(parts)):
