@@ -1,5 +1,7 @@
 """Spark session for local use, and the checkpoint folder."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,4 +39,5 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="eventscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
