@@ -419,6 +419,13 @@ SELECT customer AS project, min(ms) AS start_ms, max(ms) AS end_ms, arg_min(cate
 FROM space WHERE latitude = '' AND longitude = '' GROUP BY customer""")
 
 
+# The first filter of an order is its status.
+_add("project_spans_by_filter", _with(SPACE), """
+SELECT 'status/' || o_orderstatus AS project, min(ms) AS start_ms, max(ms) AS end_ms,
+       arg_min(category, event_key) AS category, min(event_key) AS first_key
+FROM space JOIN orders ON event_key = o_orderkey WHERE latitude = '' AND longitude = '' GROUP BY o_orderstatus""")
+
+
 def _shares(key: str, source: str, sets: int) -> str:
     """Hits per set; with three sets the last takes segment/BUILDING from the first."""
     if sets == 3:

@@ -583,6 +583,14 @@ def project_spans(spark, sf):
     return spans.select("project", millis("start").alias("start_ms"), millis("end").alias("end_ms"), "category", "first_key")
 
 
+@query
+def project_spans_by_filter(spark, sf):
+    spans = groups.project_spans(t.space_events(spark, sf))
+    return spans.select(
+        "project", millis("start").alias("start_ms"), millis("end").alias("end_ms"), "category", "first_key"
+    )
+
+
 @query
 def colour_shares(spark, sf):
     shares = groups.colour_shares(t.space_events(spark, sf), "location", COLOUR_SETS)

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventscope import fixed_values as fixed
 from eventscope.functions.paths import path_text
 from eventscope.functions.values import (
     has_valid_coordinates, is_nonlocated, media_type,
@@ -34,12 +35,22 @@ def group_locations(events: DataFrame, key: str = "event_key") -> DataFrame:
     )
 
 
-def project_spans(events: DataFrame, key: str, order: str = "event_key", time: str = "datetime") -> DataFrame:
+def first_filter_path() -> Column:
+    """The path of an event's first filter; null without one."""
+    filters = F.filter("associations", lambda a: a["mode"] == fixed.FILTER)
+    return path_text(F.get(filters, F.lit(0))["filter_paths"])
+
+
+def project_spans(
+    events: DataFrame, key: str | None = None, order: str = "event_key", time: str = "datetime"
+) -> DataFrame:
     """First and last time of the non-located events of each project, and the category of
-    its first event."""
+    its first event. An event's project is in the column ``key``, or else the path of its
+    first filter."""
+    project = F.col(key) if key else first_filter_path()
     return (
-        events.where(is_nonlocated() & F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("project"))
+        events.where(is_nonlocated() & project.isNotNull())
+        .groupBy(project.alias("project"))
         .agg(
             F.min(time).alias("start"),
             F.max(time).alias("end"),

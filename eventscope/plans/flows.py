@@ -22,7 +22,7 @@ def timeline_view(
     return timeline.activity(selection.track_rows(shown, view.categories, fallback), minutes)
 
 
-def project_lanes(events: DataFrame, view: View, project: str, lane_size: int = 1) -> DataFrame:
+def project_lanes(events: DataFrame, view: View, project: str | None = None, lane_size: int = 1) -> DataFrame:
     """Lanes of the shown projects; an event without a place counts with its project."""
     shown = selection.select_events(events, view)
     return timeline.assign_lanes(groups.project_spans(shown, project), lane_size)
