@@ -202,10 +202,10 @@ def learn(
     names = [row["feature"] for row in best]
     number = {f: i for i, f in enumerate(names)}
     marked = set(names)
-    rows = (
-        sample.mapInArrow(_rows(number, marked), "toxic boolean, at array<int>, n array<int>, marked long")
-        .orderBy("toxic", "marked", "at", "n").toPandas()
-    )
+    rows = sample.mapInArrow(_rows(number, marked), "toxic boolean, at array<int>, n array<int>, marked long").toPandas()
+    # In an order that is always the same, so that sums are too.
+    order = [(t, m, tuple(a), tuple(n)) for t, m, a, n in zip(rows["toxic"], rows["marked"], rows["at"], rows["n"])]
+    rows = rows.iloc[sorted(range(len(order)), key=order.__getitem__)]
     cuts = np.quantile(rows.loc[rows["toxic"], "marked"].to_numpy(), [1 / 3, 2 / 3])
     grades = np.where(rows["toxic"], 1 + np.searchsorted(cuts, rows["marked"].to_numpy(), side="left"), 0)
     sizes_of = rows["at"].map(len).to_numpy()
