@@ -70,7 +70,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     id_, digest = _keys()
     texts = docs.select(id_, digest, "doc_id", "source", "text")
     live = (
-        secrets.scan(texts, repository="doc_id", owner="source").where("n_live > 0")
+        secrets.scan(texts, owner="source").where("n_live > 0")
         .select("_id", "_digest", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
     )
     masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(

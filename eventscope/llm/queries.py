@@ -83,9 +83,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document counts as a repository of its source."""
+    """The owner of a document is its source."""
     texts = documents(spark, sf_dir, "doc_id", "text", "source")
-    found = secrets.scan(texts, repository="doc_id", owner="source")
+    found = secrets.scan(texts, owner="source")
 
     def count(kind: int):
         spans = F.filter("base", lambda s: s["kind"] == kind)

@@ -1,9 +1,10 @@
 """Secrets in texts, and who owns them.
 
 Patterns find candidates on each row. Then the corpus speaks: a candidate's hash is counted
-by distinct repositories and distinct owners. What many owners have is an example that
-people copy; what one owner has in few places, and what looks made by chance, is taken
-for a live credential, and its value is marked by a span of its own.
+by distinct texts, and by those of them that each owner has. If no owner has all of them,
+others wrote the value into texts of their own, and it is an example that people copy. If
+one has, in however many texts and whoever has copies of them, and the value looks made by
+chance, it is taken for a live credential and marked by a span of its own.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,9 +19,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "live")
 
-# A live value is with so many owners and repositories at most, has letters and digits,
-# so many different characters, and none of the words of made-up examples.
-OWNERS, REPOSITORIES, DIFFERENT = 1, 3, 8
+# A live value has one owner, letters and digits, so many different characters, and none of
+# the words of made-up examples.
+DIFFERENT = 8
 EXAMPLE = r"(?i)example|sample|dummy|change_?me|placeholder|your[_-]|xxxx|0123456789|123456789|abcdefgh"
 
 # Places are summed in stretches of this many matches.
@@ -86,21 +87,20 @@ def written(spans: Column) -> Column:
     )), ",")
 
 
-def scan(df: DataFrame, repository: str, owner: str, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, owner: str, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with ``base`` (spans of the three patterns), ``spans`` (with
     those of live values), ``n_live`` and ``n_example`` (values that are not live).
 
     A span has ``start``, ``kind`` (index in ``KINDS``) and ``past``; spans are sorted. A
-    null text counts as empty; null owners are one owner, null repositories one. Saves
-    what the patterns found, not the texts; columns of ``df`` with the new names are
-    replaced.
+    null text counts as empty; null owners are one owner. Saves what the patterns found, not
+    the texts; columns of ``df`` with the new names are replaced.
     """
     new = ("base", "spans", "n_live", "n_example")
     given = [c for c in df.columns if c not in (text, *new)]
     body = F.coalesce(F.col(text), F.lit(""))
     found = df.select(
         *[F.col(f"`{c}`") for c in given],
-        F.col(repository).alias("_repository"), F.col(owner).alias("_owner"),
+        F.col(owner).alias("_owner"), body.alias("_body"),
         F.filter(matches(body, ASSIGN, 2), lambda m: F.length(m["value"]) >= ASSIGN_LEAST).alias("_assign"),
         matches(body, ACCESS).alias("_access"),
         matches(body, HEX).alias("_hex"),
@@ -120,16 +120,17 @@ def scan(df: DataFrame, repository: str, owner: str, text: str = "text") -> Data
         ),
     ))
     rows = saved(found.select(
-        *[F.col(f"`{c}`") for c in given], "_repository", "_owner",
+        *[F.col(f"`{c}`") for c in given], "_owner",
+        F.when(F.size(values) > 0, F.sha2(F.col("_body").cast("binary"), 256)).alias("_digest_of_text"),
         F.monotonically_increasing_id().alias("_row"),
         F.array_sort(F.concat(_spans("_assign", 0), _spans("_access", 1), _spans("_hex", 2))).alias("base"),
         values.alias("_values"),
     ))
-    candidates = rows.select("_row", "_repository", "_owner", F.inline("_values"))
-    classes = saved(ownership(candidates, "hash", "_repository", "_owner").withColumnRenamed("hash", "_hash"))
+    candidates = rows.select("_row", "_digest_of_text", "_owner", F.inline("_values"))
+    classes = saved(ownership(candidates, "hash", "_digest_of_text", "_owner").withColumnRenamed("hash", "_hash"))
     # Both sides come from files, so Spark splits the candidates of a hash that is everywhere.
     known = candidates.join(classes, F.col("hash") == F.col("_hash"))
-    live = F.col("looks") & (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES)
+    live = F.col("looks") & (F.col("of_one_owner") == F.col("texts"))
     judged = (
         known.select("_row", "start", "past", live.alias("live"))
         .groupBy(F.col("_row").alias("_of"))
@@ -147,13 +148,21 @@ def scan(df: DataFrame, repository: str, owner: str, text: str = "text") -> Data
     )
 
 
-def ownership(candidates: DataFrame, hash_: str, repository: str, owner: str) -> DataFrame:
-    """``repositories`` and ``owners`` that have each hash. A repository belongs to an owner:
-    the same name with another owner is another one. Partial sums go before each shuffle."""
+def ownership(candidates: DataFrame, hash_: str, text: str, owner: str) -> DataFrame:
+    """``texts``, the distinct texts that have each hash, and ``of_one_owner``, the most of them
+    that one owner has. Partial sums go before each shuffle."""
+    nobody = F.lit(None).cast(candidates.schema[owner].dataType)
+    sides = F.array(
+        F.struct(F.lit(False).alias("all"), F.col(owner).alias("holder")),
+        F.struct(F.lit(True).alias("all"), nobody.alias("holder")),
+    )
     return (
-        candidates.select(hash_, owner, repository).distinct()
-        .groupBy(hash_, owner).agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(hash_).agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+        candidates.select(hash_, text, F.inline(sides)).distinct()
+        .groupBy(hash_, "all", "holder").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(hash_).agg(
+            F.max(F.when(F.col("all"), F.col("n"))).alias("texts"),
+            F.max(F.when(~F.col("all"), F.col("n"))).alias("of_one_owner"),
+        )
     )
 
 

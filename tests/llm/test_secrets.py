@@ -79,6 +79,19 @@ def test_query(spark, write_tables):
     assert op6_secrets(spark, write_tables(documents=([], SCHEMA))).count() == 0
 
 
+def test_copies_and_further_documents_leave_a_value_live(spark, write_tables):
+    rng = random.Random(10)
+    copied, many, shared, several = ("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(4))
+    rows = [(i, f"password={copied}", "en", f"s{i}") for i in range(6)]  # one text, six owners
+    rows += [(100 + i, f"token={many} of {i}", "en", "s1") for i in range(9)]
+    # s2 has both texts, s3 a copy of one.
+    rows += [(200, f"secret={shared} a", "en", "s2"), (201, f"secret={shared} a", "en", "s3"), (202, f"secret={shared} b", "en", "s2")]
+    # No owner has all.
+    rows += [(300 + i, f"secret={several} by {i}", "en", f"s{i}") for i in range(4)]
+    got = {r.doc_id: (r.n_live, r.n_example) for r in op6_secrets(spark, write_tables(documents=(rows, SCHEMA))).collect()}
+    assert got == {i: (0, 1) if i >= 300 else (1, 0) for i, *_ in rows}
+
+
 PIECES = ["token", "SECRET", "api_key", "=", ":", " ", '"', "'", "abc", "9f", "AKIA", "AKIA1", "ABCDEFGH", "é", "🙂", ".", "deadbeefdeadbeefdeadbeef"]
 
 
