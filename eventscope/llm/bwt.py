@@ -12,8 +12,10 @@ bytes each) or by buckets (anchors by hash):
 1. Each page tells each bucket its anchors; the bucket answers which occur in another
    page as well. Anchors of one document only are settled: nothing repeats there.
 2. A page sends the contexts of the others to their buckets. Contexts that a page has
-   several times are sent once, for the smallest document; in the later documents all
-   their windows are repeats. So a passage in a third of all documents costs a row a page.
+   several times, cut by the ends of documents in the same columns or not at all, are sent
+   once, for the smallest document; in the later documents all their windows are repeats.
+   So a context in a third of all documents costs a row a page, at their edges too. Where
+   a passage meets other bytes in each document, contexts differ and each is a row.
 3. A bucket gets shards, the contexts of some pages each, and builds the transform of
    every shard: from the last column to the first, contexts sorted by what follows, and
    the bytes before. The merge refines an interleave of the shards: at first it puts one
@@ -111,6 +113,19 @@ class Anchors:
         return Anchors(*(getattr(self, f)[at] for f in ("place", "doc", "hash", "around", "low", "high")))
 
 
+def bounds(page: Page, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (index) of each place, and the first and last column of its windows."""
+    doc = np.searchsorted(page.ends, place, side="right")
+    begin = place - BEFORE
+    return doc, np.maximum(0, page.starts[doc] - begin), np.minimum(BEFORE, page.ends[doc] - LENGTH - begin)
+
+
+def all_windows(page: Page, place: np.ndarray) -> np.ndarray:
+    """A bit for each column whose window lies in the document."""
+    _, low, high = bounds(page, place)
+    return ((np.int64(2) << high) - (np.int64(1) << low)).astype(np.uint32)
+
+
 def anchors(page: Page) -> Anchors:
     """K-mers that are least in a window of their document; all of them, if several are."""
     n = len(page.data)
@@ -142,12 +157,8 @@ def anchors(page: Page) -> Anchors:
         none = np.zeros(0, dtype=np.int64)
         return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
     place = np.concatenate(places)
-    doc = np.searchsorted(page.ends, place, side="right")
-    begin = place - BEFORE
-    return Anchors(
-        place, doc, np.concatenate(hashes), np.concatenate(arounds),
-        np.maximum(0, page.starts[doc] - begin), np.minimum(BEFORE, page.ends[doc] - LENGTH - begin),
-    )
+    doc, low, high = bounds(page, place)
+    return Anchors(place, doc, np.concatenate(hashes), np.concatenate(arounds), low, high)
 
 
 def contexts(page: Page, found: Anchors) -> np.ndarray:
@@ -176,17 +187,27 @@ def several_documents(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def fold(page: Page, found: Anchors, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole contexts that occur several times in the page: for each row the first that is
-    equal (itself, if none is), which rows have its document's number, and which
-    stand for themselves. Equal means equal bytes; a hash only proposes."""
+    """Contexts that occur several times in the page: for each row the first that is equal
+    (itself, if none is), which rows have its document's number, and which stand for
+    themselves. Equal means equal bytes and equal bounds, so the same windows; a hash only
+    proposes."""
     n = len(rows)
     first = np.arange(n)
-    whole = np.flatnonzero((found.low == 0) & (found.high == BEFORE))
-    if len(whole):
-        _, at, group = np.unique(found.around[whole], return_index=True, return_inverse=True)
-        candidate = whole[at[group]]
-        equal = (rows[whole] == rows[candidate]).all(axis=1)
-        first[whole[equal]] = candidate[equal]
+    if n:
+        around = found.around.copy()
+        cut = np.flatnonzero((found.low > 0) | (found.high < BEFORE))
+        # What lies around a cut context is not its document's.
+        masked = np.zeros((len(cut), -(-(WIDTH + 2) // 8) * 8), dtype=np.uint8)
+        masked[:, :WIDTH], masked[:, WIDTH], masked[:, WIDTH + 1] = rows[cut], found.low[cut], found.high[cut]
+        mixed = np.zeros(len(cut), dtype=np.uint64)
+        for part in masked.view(np.uint64).T:
+            mixed = _mixed(mixed + part)
+        around[cut] = mixed
+        _, at, group = np.unique(around, return_index=True, return_inverse=True)
+        candidate = at[group]
+        equal = (rows == rows[candidate]).all(axis=1)
+        equal &= (found.low == found.low[candidate]) & (found.high == found.high[candidate])
+        first[equal] = candidate[equal]
     number = page.numbers[found.doc]
     return first, number == number[first], first == np.arange(n)
 

@@ -12,7 +12,6 @@ from eventscope.llm import bwt
 
 # Bytes of text in a page, about, and buckets for each shuffle partition.
 PAGE_BYTES, BUCKETS = 2 << 20, 2
-ALL_WINDOWS = np.uint32((1 << bwt.WINDOWS) - 1)
 
 _KEYS = pa.schema([("_bucket", pa.int32()), ("_page", pa.int64()), ("keys", pa.binary())])
 _SENT = pa.schema([
@@ -163,7 +162,7 @@ def _cut(id_type: pa.DataType, with_kept: bool):
             here = np.frombuffer(row["places"], np.int64)
             places.append(here)
             if row["local"]:
-                masks.append(np.full(len(here), ALL_WINDOWS))
+                masks.append(bwt.all_windows(page, here))
                 follows.append(np.frombuffer(row["masks"], np.int64))
                 firsts.append(np.frombuffer(row["firsts"], np.int64))
             else:

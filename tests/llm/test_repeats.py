@@ -107,6 +107,41 @@ def test_query(spark, write_tables, monkeypatch, page_bytes, shard):
     check(spark, folder, rows)
 
 
+def edges(rng):
+    """Texts alike from the first byte on, up to the last, or in all bytes."""
+    def letters(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    head, tail, short, whole = letters(70), letters(70), letters(60), letters(500)
+    return [head + letters(300) for _ in range(20)] + [letters(300) + tail for _ in range(20)] + [short] * 20 + [whole] * 20
+
+
+def test_cut_contexts_are_folded_with_equal_bounds():
+    rng = random.Random(6)
+    texts = edges(rng)
+    rows = list(enumerate(texts))
+    for some, once in [(rows[40:60], rows[40:41]), (rows[60:], rows[60:61])]:
+        p = page(some)
+        found = bwt.anchors(p)
+        assert bwt.fold(p, found, bwt.contexts(p, found))[2].sum() == len(bwt.anchors(page(once)).place)
+    # Zero bytes of a text are not those that stand for a cut.
+    p = page([(0, texts[40]), (1, "\0" * 26 + texts[40] + "\0" * 50)])
+    found = bwt.anchors(p)
+    first, _, own = bwt.fold(p, found, bwt.contexts(p, found))
+    assert (found.low[first] == found.low).all() and (found.high[first] == found.high).all()
+    assert own[found.doc == 1].all()
+
+
+@pytest.mark.parametrize("page_bytes", [1 << 21, 2500])
+def test_edges(spark, write_tables, monkeypatch, page_bytes):
+    monkeypatch.setattr(repeats, "PAGE_BYTES", page_bytes)
+    rng = random.Random(7)
+    rows = list(enumerate(edges(rng)))
+    rows += [(200, "\0" * 30 + rows[45][1] + "\0" * 60), (201, "x" + rows[45][1]), (202, rows[45][1][:-1]), (3, rows[45][1])]
+    rng.shuffle(rows)
+    check(spark, write_tables(documents=(rows, "doc_id long, text string")), rows)
+
+
 def test_long_text_and_empty_table(spark, write_tables):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefghij ") for _ in range(300_000))
