@@ -29,7 +29,7 @@ from eventscope.llm.frames import saved
 
 # Rounds of multiplicative weights, the step, and how far a round may overfill a length;
 # the program is solved again for what rounding leaves, so many times in all.
-ROUNDS, STEP, OVERFILL, PASSES = 10, 0.7, 2.0, 2
+ROUNDS, STEP, OVERFILL, PASSES = 24, 0.7, 2.0, 2
 # Knapsacks of a round: each leaves out the lengths that the ones before filled.
 KNAPSACKS = 4
 # Pieces of one length are ranked in this many parts, so a length that holds a third of
@@ -334,6 +334,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration,
             left = left.copy()
             left[there] = rest
     whole += best_fit(lengths, left, capacity)
+    # With few lengths rounding may cost more than the program gains.
+    plain = best_fit(lengths, counts, capacity)
+    whole = min(whole, plain, key=lambda found: sum(k for _, k in found))
     return [(tuple(int(lengths[j]) for j in reversed(sorted(c))), k) for c, k in whole]
 
 
