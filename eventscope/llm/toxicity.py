@@ -147,7 +147,7 @@ def learn(
 ) -> Model:
     """A model of a bounded sample of the labelled texts; near copies among them count once.
 
-    ``draw`` hashes the id (long). An id with several labels is toxic if any says so; null
+    Rows alike in id and text are one text. ``draw`` hashes the id (long). An id with several labels is toxic if any says so; null
     labels are none. Without toxic or without clean texts nothing is toxic. Runs four jobs;
     the driver gets the chosen features and the sample's counts of them, both bounded.
     """
@@ -160,14 +160,16 @@ def learn(
     share = F.when(F.col("toxic"), min(1.0, bound / sizes[True])).otherwise(min(1.0, bound / sizes[False]))
     # About twice ``bound`` short rows.
     drawn = F.broadcast(given.where(F.pmod(draw, F.lit(1_000_000)) < share * 1_000_000))
-    texts = docs.select(F.col(id), F.col(text).alias("text"))
+    texts = docs.select(F.col(id), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
     keyed = add_columns(
         texts.join(drawn, id),
         lambda batch: [[_copy_key(words_of(t)) for t in batch.column("text").to_pylist()]],
         [T.StructField("copy", T.LongType())],
     )
-    chosen = saved(keyed.groupBy("copy").agg(F.min(id).alias(id), F.max("toxic").alias("toxic")).drop("copy"))
-    sample = texts.join(F.broadcast(chosen), id).select("text", "toxic")
+    first = F.min(F.struct(id, "digest")).alias("first")
+    chosen = saved(keyed.groupBy("copy").agg(first, F.max("toxic").alias("toxic")).select("first.*", "toxic"))
+    # One row for each of the chosen, however often it is in the documents.
+    sample = texts.join(F.broadcast(chosen), [id, "digest"]).dropDuplicates([id, "digest"]).select("text", "toxic")
 
     sizes = {row["toxic"]: row["count"] for row in chosen.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -189,8 +191,6 @@ def learn(
         sample.mapInArrow(_feature_counts, "feature string, toxic_texts long, clean_texts long")
         .groupBy("feature").agg(F.sum("toxic_texts").alias("toxic_texts"), F.sum("clean_texts").alias("clean_texts"))
         .where(p + n >= LEAST_TEXTS)
-        # A repeated text may be in the sample more often than its one label.
-        .where((p <= sizes[True]) & (n <= sizes[False]))
         .where(more)
         .select("feature", F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("root"))
         .where(F.col("root") >= LEAST_ROOT)

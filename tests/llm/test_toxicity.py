@@ -60,6 +60,19 @@ def test_held_out_labels(spark):
     assert sum(r.toxic == bool(r.label) for r in rows) / len(rows) >= 0.9  # 300 labels to learn from
 
 
+def test_repeated_rows_and_ids_count_once(spark, write_tables):
+    rng = random.Random(8)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choices(words, k=40), *["horridly"] * (i % 2)])) for i in range(200)]
+    # Some ids have a second text.
+    rows += [(i, " ".join([*rng.choices(words, k=40), *["horridly"] * (i % 2)])) for i in range(20)]
+    labels = [(i, 1, i % 2) for i in range(200)]
+    once = op3_toxicity(spark, write_tables(documents=(rows, SCHEMAS[0]), labels=(labels, SCHEMAS[1]))).collect()
+    twice = op3_toxicity(spark, write_tables(documents=(rows * 2, SCHEMAS[0]), labels=(labels, SCHEMAS[1]))).collect()
+    assert all(r.toxic == bool(r.doc_id % 2) for r in twice)
+    assert sorted(map(repr, twice)) == sorted([*map(repr, once)] * 2)
+
+
 def test_nothing_to_learn(spark, write_tables):
     one_class = write_tables(documents=([(1, "a b c")], SCHEMAS[0]), labels=([(1, 1, 0)], SCHEMAS[1]))
     row = op3_toxicity(spark, one_class).first()
