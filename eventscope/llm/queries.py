@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventscope.llm import bpe, exact, language, order_minhash, packing, repeats, ring, secrets, simhash, toxicity
+from eventscope.llm import (
+    alignment, blocks, bpe, exact, language, order_minhash, packing, prefix_trie, repeats, ring, secrets, simhash, toxicity,
+)
 from eventscope.llm.frames import saved, small_batches, table
 
 # Tokens of a training sequence.
@@ -11,6 +13,8 @@ SEQUENCE = 2048
 SHARDS = 16
 # Words of a shingle and bits that linked fingerprints may differ in.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+# Conversations that share a first one, and the turns, less one, they take from it at most.
+FAMILY, SHARED_TURNS = 20, 4
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -125,6 +129,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return blocks.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_start(steps, FAMILY, SHARED_TURNS))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        byte_level = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        pieces = file.read()
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"), byte_level, pieces)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -136,6 +158,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_repeats": op10_repeats,
+    "op11_main_text": op11_main_text,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_alignment": op13_alignment,
 }
 # Lower case for A-Z only, as DuckDB's lower() also turns other letters.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
