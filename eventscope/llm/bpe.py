@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, types as T
 
 from eventscope.llm.frames import add_columns
 
-# Short pre-tokens come again and again; a worker remembers the ids of this many.
+# Short pre-tokens come again and again; a worker remembers the ids of about this many.
 REMEMBERED = 1 << 20
 REMEMBERED_BYTES = 48
+# Bytes of pre-tokens that share a queue; a longer one has it for itself.
+QUEUED_BYTES = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +51,11 @@ class RankQueue:
         self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
         self.top |= 1 << (rank >> 12)
 
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """A bucket that is not there yet, with positions in order."""
+        self.push(rank, positions[0])
+        self.buckets[rank] = positions
+
     def pop(self) -> tuple[int, list[int]]:
         """The lowest rank and its positions from left to right."""
         i = (self.top & -self.top).bit_length() - 1
@@ -69,74 +76,117 @@ class RankQueue:
 
 
 class Encoder:
-    """Ids of pre-tokens. Ranks must hold every single byte."""
+    """Ids of pre-tokens. Ranks must hold every single byte.
+
+    Pre-tokens that were not met before wait in one queue: they lie behind one another in
+    one list of positions, with no pair across their borders. Each has its own order of
+    merges, so what the others do in between changes nothing.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.known: dict[str, bytes] = {}
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self.double = np.full(1 << 16, -1, dtype=np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
 
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        get, queue, n = self.ranks.get, self.queue, len(piece)
-        push = queue.push
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        return np.frombuffer(self.merge_all([piece])[0], dtype="<i4").tolist()
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit numbers."""
+        get = self.ranks.get
+        out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in map(get, pieces)]
+        rest = [i for i, ids in enumerate(out) if not ids and pieces[i]]
+        start = 0
+        while start < len(rest):
+            # As many as fill the queue, and at least one.
+            end, size = start + 1, len(pieces[rest[start]])
+            while end < len(rest) and size + len(pieces[rest[end]]) <= QUEUED_BYTES:
+                size += len(pieces[rest[end]])
+                end += 1
+            some = [pieces[i] for i in rest[start:end]]
+            for i, ids in zip(rest[start:end], self._merged(some)):
+                out[i] = ids
+            start = end
+        return out
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        data, get, queue = b"".join(pieces), self.ranks.get, self.queue
+        push, n = queue.push, len(data)
+        raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum([len(p) for p in pieces])
+        border = np.zeros(n + 1, dtype=bool)
+        border[0] = True
+        border[ends] = True
         # pair[p]: rank of the token at p joined with the one after it; -1 if none.
-        pair = [get(piece[p : p + 2], -1) for p in range(n - 1)]
-        pair.append(-1)
-        for p, rank in enumerate(pair):
-            if rank >= 0:
-                push(rank, p)
+        first = np.full(n, -1, dtype=np.int64)
+        first[:-1] = np.where(border[1:n], -1, self.double[raw[:-1] << 8 | raw[1:]])
+        waiting = np.flatnonzero(first >= 0)
+        waiting = waiting[np.argsort(first[waiting], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[waiting], prepend=-1))
+        for positions in np.split(waiting, cuts[1:]) if len(waiting) else ():
+            queue.fill(int(first[positions[0]]), positions.tolist())
+        pair, token = first.tolist(), self.single[raw].tolist()
+        after = list(range(1, n + 1))
+        before = np.where(border[:n], -1, np.arange(-1, n - 1)).tolist()
+        is_border = border.tolist()
         while queue.top:
             rank, positions = queue.pop()
-            for k, p in enumerate(positions):
+            held = 0
+            for p in positions:
                 if pair[p] != rank:
                     continue
+                if p < held:
+                    push(rank, p)
+                    continue
                 gone = after[p]
-                pair[gone] = -1
+                pair[gone] = token[gone] = -1
+                token[p] = rank
                 end = after[p] = after[gone]
                 lowest = rank
-                if end < n:
+                if is_border[end]:
+                    pair[p] = -1
+                else:
                     before[end] = p
-                    new = pair[p] = get(piece[p : after[end]], -1)
+                    new = pair[p] = get(data[p : after[end]], -1)
                     if new >= 0:
                         push(new, p)
                         lowest = new
-                else:
-                    pair[p] = -1
                 left = before[p]
                 if left >= 0:
-                    new = pair[left] = get(piece[left:end], -1)
+                    new = pair[left] = get(data[left:end], -1)
                     if new >= 0:
                         push(new, left)
                         lowest = min(lowest, new)
                 if lowest < rank:
-                    for rest in positions[k + 1 :]:
-                        push(rank, rest)
-                    break
-        ids, p = [], 0
-        while p < n:
-            ids.append(self.ranks[piece[p : after[p]]])
-            p = after[p]
-        return ids
+                    # The rest of this pre-token waits for the lower rank.
+                    held = int(ends[np.searchsorted(ends, p, side="right")])
+        tokens = np.array(token, dtype="<i4")
+        kept = tokens >= 0
+        counts = np.concatenate([[0], np.cumsum(kept)[ends - 1]]) * 4
+        ids = tokens[kept].tobytes()
+        return [ids[a:b] for a, b in zip(counts.tolist(), counts[1:].tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        known, split = self.known, [self.split(t) for t in texts]
+        if len(known) >= REMEMBERED:
+            known.clear()
+        new = list({p for pieces in split for p in pieces if p not in known})
+        raw = [p.encode() for p in new]
+        made = dict(zip(new, self.merge_all(raw)))
+        known |= {p: made[p] for p, b in zip(new, raw) if len(b) <= REMEMBERED_BYTES}
+        if all(len(b) <= REMEMBERED_BYTES for b in raw):
+            return [b"".join([known[p] for p in pieces]) for pieces in split]
+        return [b"".join([known.get(p) or made[p] for p in pieces]) for pieces in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        known, out = self.known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                raw = piece.encode()
-                ids = np.array(self.merge(raw), dtype="<i4").tobytes()
-                if len(raw) <= REMEMBERED_BYTES:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 # What a worker built from a broadcast table, by the name the driver gave it.
@@ -168,7 +218,7 @@ def encode(
 
     def make(batch):
         encoder = _built(name, lambda: Encoder(shared.value, pattern))
-        rows = [encoder.encode(x.as_py() or "") for x in batch.column(text)]
+        rows = encoder.encode_all([x or "" for x in batch.column(text).to_pylist()])
         offsets = np.zeros(len(rows) + 1, dtype=np.int32)
         np.cumsum([len(r) >> 2 for r in rows], out=offsets[1:])
         values = np.frombuffer(b"".join(rows), dtype="<i4")
