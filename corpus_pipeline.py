@@ -32,9 +32,13 @@ def _keys() -> tuple[Column, Column]:
 
 
 def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    id_, digest = _keys()
-    keyed = docs.withColumns({"_id": id_, "_digest": digest})
-    return keyed.join(found, ["_id", "_digest"], how)
+    """Rows of ``docs``, each as one column ``row``, with what was found for them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(*_keys(), row).join(found, ["_id", "_digest"], how)
+
+
+def _columns(docs: DataFrame, **changed: Column) -> list[Column]:
+    return [changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id."""
     small_batches(spark)
-    taken = ("keep_id", "group_size", "kept")
+    taken = ("keep_id", "group_size", "kept", "_id", "_data", "_place")
     return _chosen(docs, taken, lambda d: exact.exact_groups(d).where("kept"))
 
 
@@ -62,7 +66,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_id", "_digest")).alias("first")
     stays = rows.join(groups, "fingerprint").groupBy("component").agg(first).select("first._id", "first._digest")
     kept = _joined(docs, stays, "left_semi").dropDuplicates(["_id", "_digest"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*_columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,16 +75,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     texts = docs.select(id_, digest, "doc_id", "source", "text")
     live = (
         secrets.scan(texts, owner="source").where("n_live > 0")
-        .select("_id", "_digest", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
-    )
-    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        secrets.masked(F.col("text"), F.col("_spans"), MASK)
-    )
-    out = _joined(docs, live, "left").withColumn("text", masked)
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-    return out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+        .select("_id", "_digest", "spans").dropDuplicates(["_id", "_digest"])
     )
+    text, clean = F.col("row.text"), F.col("spans").isNull()
+    masked = F.when(clean, text).otherwise(secrets.masked(text, F.col("spans"), MASK))
+    out = _joined(docs, live, "left").withColumn("masked", masked)
+    n_chars = F.when(clean, F.col("row.n_chars")).otherwise(F.length("masked"))
+    return out.select(*_columns(
+        docs, text=F.col("masked"), n_chars=n_chars.cast(docs.schema["n_chars"].dataType)
+    ))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,11 +105,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage is written to the shared checkpoint folder and read again by the next."""
+    """Each stage is written to the shared checkpoint folder and read again by the next. A
+    table goes when the one after it is complete; the last belongs to the caller, whose
+    result still reads it."""
     use_checkpoint_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
