@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventscope.llm.frames import saved
+from eventscope.llm.frames import give_back_memory, saved
 
 # Bytes of text in a stretch; a longer text is one of its own.
 STRETCH_BYTES = 2 << 20
@@ -354,6 +354,7 @@ def align(df: DataFrame, byte_level: str, pieces: bytes, text: str = "text", col
                 "pairs": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs),
             })
             yield from out.combine_chunks().to_batches()
+        give_back_memory()
 
     coded = saved(rows.mapInArrow(first, (
         f"row {row_type}, stretch long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "

@@ -1,5 +1,6 @@
 """Small helpers that the operators of this package share."""
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -26,6 +27,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back_memory() -> None:
+    """A worker that waits for its next task keeps no memory that it has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def add_columns(
     df: DataFrame, make: Callable[[pa.RecordBatch], list], fields: list[T.StructField]
 ) -> DataFrame:
@@ -47,6 +56,7 @@ def add_columns(
             yield pa.RecordBatch.from_arrays(
                 old + new, names=[f.name for f in kept] + [f.name for f in fields]
             )
+        give_back_memory()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
-from eventscope.llm.frames import saved
+from eventscope.llm.frames import give_back_memory, saved
 
 # Rounds of multiplicative weights, the step, and how far a round may overfill a length;
 # the program is solved again for what rounding leaves, so many times in all.
@@ -36,8 +36,8 @@ KNAPSACKS = 4
 # all rows is not one task.
 CELLS = 32
 # Units of words that a worker remembers, and bytes of text coded at once.
-REMEMBERED = 1 << 19
-CODED_BYTES = 12 << 20
+REMEMBERED = 1 << 18
+CODED_BYTES = 6 << 20
 
 # The units of a tokenizer for which plain words have the short way.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -196,6 +196,7 @@ def pieces(
             values = list(zip(*found)) or [[] for _ in new]
             columns += [pa.array(list(v), kind) for v, kind in zip(values, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept + new])
+        give_back_memory()
 
     return df.mapInArrow(run, T.StructType(kept + new))
 
