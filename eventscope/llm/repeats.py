@@ -10,8 +10,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from eventscope.llm import bwt
 
-# Bytes of text in a page, about, and buckets for each shuffle partition.
-PAGE_BYTES, BUCKETS = 2 << 20, 2
+# Bytes of text in a page, about, and for each bucket; buckets for each shuffle partition at
+# least.
+PAGE_BYTES, BUCKET_BYTES, BUCKETS = 2 << 20, 64 << 20, 2
 
 _KEYS = pa.schema([("_bucket", pa.int32()), ("_page", pa.int64()), ("keys", pa.binary())])
 _SENT = pa.schema([
@@ -205,7 +206,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", kept:
         F.col(f"`{id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")
     )
     size = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
-    pages, buckets = size // PAGE_BYTES + 1, BUCKETS * partitions
+    pages, buckets = size // PAGE_BYTES + 1, max(BUCKETS * partitions, size // BUCKET_BYTES + 1)
     # The input's partition is in the hash, so that rows alike in all columns are spread.
     paged = rows.select(
         "_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))).alias("_number"), "_text",
