@@ -19,6 +19,8 @@ UNKNOWN = "und"
 # About so many documents of each language are learned from, drawn by a hash of the id;
 # all of them if there are fewer.
 LEARNED_DOCUMENTS = 5_000
+# Languages that are learned at most, those with the most documents.
+LEARNED_LANGUAGES = 256
 # An n-gram belongs to a language if it makes up this share of its n-grams, and this part
 # of the share it has in the language where it is most common. The first bounds the table
 # that the driver gets: 1 / SHARE n-grams a language at most.
@@ -93,23 +95,31 @@ def _counted(column_text: str, column_language: str):
 
 
 def learn(
-    df: DataFrame, draw: Column, text: str = "text", language: str = "lang", bound: int = LEARNED_DOCUMENTS
+    df: DataFrame, draw: Column, text: str = "text", language: str = "lang", bound: int = LEARNED_DOCUMENTS,
+    most: int = LEARNED_LANGUAGES,
 ) -> Model:
     """A model of the rows with a language. ``draw`` is a hash (long) that picks the sample.
 
-    Runs two jobs. Languages are ordered by rows, so a tie goes to the more common one.
+    Learns the ``most`` languages with the most rows, ties by name, from about ``bound`` rows
+    of each; rows of others are not learned from, and nothing is predicted to be of them. So
+    a column full of odd values costs no more than a clean one. Runs two jobs. Languages are
+    ordered by rows, so a tie goes to the more common one.
     """
-    known = df.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(language).count().orderBy(F.desc("count"), language).collect()
-    languages = [row[0] for row in sizes]
+    known = df.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("text"), F.col(language).alias("language"), draw.alias("draw")
+    )
+    sizes = known.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "language").limit(most).collect()
+    languages = [row.language for row in largest]
     if not languages:
         return Model([], np.zeros((1, SLOTS), dtype=np.uint64), np.zeros(0))
-    share = F.lit(0.0)
-    for name, n in sizes:
-        share = F.when(F.col(language) == name, F.lit(min(1.0, bound / n))).otherwise(share)
-    sample = known.where(F.pmod(draw, F.lit(1_000_000)) < share * 1_000_000).select(text, language)
+    shares_of = df.sparkSession.createDataFrame(
+        [(row.language, min(1.0, bound / row.n)) for row in largest], "language string, part double"
+    )
+    drawn = known.join(F.broadcast(shares_of), "language")
+    sample = drawn.where(F.pmod("draw", F.lit(1_000_000)) < F.col("part") * 1_000_000).select("text", "language")
     counts = (
-        sample.mapInArrow(_counted(text, language), "language string, gram long, n long")
+        sample.mapInArrow(_counted("text", "language"), "language string, gram long, n long")
         .groupBy("language", "gram").agg(F.sum("n").alias("n"))
     )
     totals = F.broadcast(counts.groupBy("language").agg(F.sum("n").alias("total")))

@@ -51,6 +51,55 @@ def test_many_languages_and_odd_rows(spark, write_tables):
     assert right[False] == 0
 
 
+def test_a_dirty_column_of_languages(spark):
+    """Hundreds of values; only the most common ones are learned."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, chr(0x4E00 + 7 * k) * 5, f"v{k:03}") for k in range(500) for i in range(k, k + (3 if k < 4 else 1))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.learn(texts, F.xxhash64("doc_id")).languages) == language.LEARNED_LANGUAGES
+    few = language.learn(texts, F.xxhash64("doc_id"), most=4)
+    assert sorted(few.languages) == ["v000", "v001", "v002", "v003"]
+    got = language.identify(texts, few).collect()
+    assert all(r.lang_pred == r.lang for r in got if r.lang in few.languages)
+
+
+def test_as_with_exact_sets(spark):
+    """Sets of n-grams in place of the filters: counts differ by false positives only."""
+    from pyspark.sql import functions as F
+
+    docs = [r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect() if r.text and r.lang]
+    learned = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5]
+    counts = {}
+    for r in learned:
+        of = counts.setdefault(r.lang, Counter())
+        for keys in language.grams(r.text):
+            of.update(keys.tolist())
+    shares = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
+    known = {name: {g for g, s in of.items() if s >= language.SHARE} for name, of in shares.items()}
+    sets = {
+        name: {g for g in grams if shares[name][g] >= language.PART * max(shares[o][g] for o in known if g in known[o])}
+        for name, grams in known.items()
+    }
+    model = language.learn(
+        spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in learned], "doc_id long, text string, lang string"),
+        F.xxhash64("doc_id"), bound=10**6,
+    )
+    assert sorted(model.languages) == sorted(sets)
+    same = 0
+    for r in docs[:400]:
+        grams = [g for keys in language.grams(r.text) for g in keys.tolist()]
+        exact = {name: sum(g in s for g in grams) for name, s in sets.items()}
+        predicted, score = model.predict(r.text)
+        if predicted == language.UNKNOWN:
+            same += not grams
+            continue
+        same += exact[predicted] == max(exact.values())
+        # What false positives add is taken off again, so shares agree but for chance.
+        assert abs(score - exact[predicted] / len(grams)) < 0.1 + 3 / len(grams) ** 0.5
+    assert same >= 0.99 * min(400, len(docs))
+
+
 def test_nothing_to_learn(spark, write_tables):
     none = write_tables(documents=([], "doc_id long, text string, lang string"))
     assert op9_language(spark, none).count() == 0
