@@ -5,6 +5,11 @@ be small. Else the caller names a bucket, a coarser step of the order such as th
 rows are numbered within buckets, and a table with one row per group and bucket holds
 what came before and what the neighbouring buckets end with. A group then takes as many
 tasks as it has buckets. All of it is one plan; nothing is counted to choose it.
+
+Where the data may crowd into one such step, the caller names a number that the order
+follows (``along``) instead. A sketch of its quantiles, merged from all tasks, says where
+a group is to be cut, so that it takes as many buckets as its size asks; small groups stay
+whole. Only rows that are equal in that number cannot be told apart.
 """
 
 from collections.abc import Sequence
@@ -13,6 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventscope.session import use_checkpoint_folder
 
+# Rows of a group that one task numbers, about, where the caller says what to cut along; how
+# many buckets a group may have, and the size of the sketch that finds them.
+ROWS_PER_BUCKET = 1 << 20
+MOST_BUCKETS, SKETCH_SIZE = 1000, 2000
+
 
 def numbered(
     df: DataFrame,
@@ -24,26 +34,57 @@ def numbered(
     following: dict[str, Column] | None = None,
     preceding: dict[str, Column] | None = None,
     bucket: Column | None = None,
+    along: Column | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the row's place in its group (from 0), the group's size, and values of the
     rows after and before it.
 
     ``keys`` may be empty: then the whole table is one group. ``order`` must be total
-    within a group, or equal rows are numbered either way round. ``bucket`` must not fall
-    while the order rises, and be null where the first column of the order is.
+    within a group, or equal rows are numbered either way round. ``bucket``, or the whole
+    number ``along``, must not fall while the order rises, and be null where the first column
+    of the order is. With ``along``, a group of more than ``rows_per_bucket`` rows is cut into
+    buckets of about so many, or into ``MOST_BUCKETS`` larger ones.
     """
     following, preceding = following or {}, preceding or {}
     plain = not keys
     if plain:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     keys, order = list(keys), list(order)
-    if bucket is None:
+    if along is not None:
+        out = _by_bucket(
+            _with_borders(df, keys, along, rows_per_bucket), keys, order, index, total, following, preceding,
+            F.when(along.isNotNull(), F.coalesce(F.size(F.filter("_borders", lambda b: b <= along)), F.lit(0))),
+        ).drop("_borders")
+    elif bucket is None:
         out = _by_window(df, keys, order, index, total, following, preceding)
     else:
         out = _by_bucket(df, keys, order, index, total, following, preceding, bucket)
     return out.drop("_all") if plain else out
 
 
+def _with_borders(df: DataFrame, keys: list[str], along: Column, rows_per_bucket: int) -> DataFrame:
+    """``df`` with ``_borders``, the values of ``along`` at which the buckets of a large group
+    begin: quantiles of a mergeable sketch. Null for the other groups."""
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.kll_sketch_agg_bigint(along.cast("long"), F.lit(SKETCH_SIZE)).alias("_sketch"),
+    ).where(F.col("_n") > rows_per_bucket)
+    # Without values there is nothing to cut by.
+    known = sizes.where(F.kll_sketch_get_n_bigint("_sketch") > 0)
+    shares = F.array(*[F.lit(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS)])
+    parts = F.least(F.ceil(F.col("_n") / rows_per_bucket), F.lit(MOST_BUCKETS)).cast("int")
+    cuts = known.withColumn("_cuts", F.kll_sketch_get_quantile_bigint("_sketch", shares))
+    chosen = F.transform(
+        F.sequence(F.lit(1), parts - 1),
+        lambda i: F.get("_cuts", F.floor(i * MOST_BUCKETS / parts).cast("int") - 1),
+    )
+    borders = cuts.select(*keys, F.array_sort(F.array_distinct(chosen)).alias("_borders"))
+    # A row per large group, which there are few of.
+    here = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    return df.alias("l").join(borders.alias("r"), here, "left").select("l.*", "r._borders")
+
+
 def _by_window(df, keys, order, index, total, following, preceding):
     group = Window.partitionBy(*keys)
     in_order = group.orderBy(*order)

@@ -3,27 +3,37 @@
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from eventscope import fixed_values as fixed
 from eventscope.functions.predicates import matches_filters
 from eventscope.functions.values import is_located, to_number
-from eventscope.operators.ordering import numbered
+from eventscope.operators.ordering import ROWS_PER_BUCKET, numbered
 
 ORDER = ["datetime", "pos"]
 
 
-def _days(order: Sequence[str]) -> Column | None:
-    """A story may be all events there are, so those in time order are numbered day by day."""
-    return F.to_date("datetime") if order[0] == "datetime" else None
+def _cut(rows: DataFrame, order: Sequence[str], rows_per_bucket: int | None) -> dict:
+    """A story may be all events there are. Those in time order are numbered day by day, or, if
+    ``rows_per_bucket`` is given, by buckets of about so many rows; others by such buckets
+    if a whole number comes first in their order."""
+    timed = order[0] == "datetime"
+    if timed and rows_per_bucket is None:
+        return {"bucket": F.to_date("datetime")}
+    if not timed and not isinstance(rows.schema[order[0]].dataType, T.IntegralType):
+        return {}
+    along = F.unix_micros("datetime") if timed else F.col(order[0])
+    return {"along": along, "rows_per_bucket": rows_per_bucket or ROWS_PER_BUCKET}
 
 
-def steps_in_order(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def steps_in_order(
+    rows: DataFrame, order: Sequence[str] = ORDER, rows_per_bucket: int | None = None
+) -> DataFrame:
     """Rows with a ``narrative_id`` as steps with place, total, and the next step's end of the leg."""
     here = F.struct("event_key", "latitude", "longitude")
     return numbered(
         rows, ["narrative_id"], order,
-        index="step_idx", total="steps", following={"next": here}, bucket=_days(order),
+        index="step_idx", total="steps", following={"next": here}, **_cut(rows, order, rows_per_bucket),
     ).withColumns({
         "has_previous": F.col("step_idx") > 0,
         "has_next": F.col("step_idx") < F.col("steps") - 1,
@@ -37,9 +47,11 @@ def narrative_rows(events: DataFrame) -> DataFrame:
     return events.withColumn("narrative_id", F.explode(ids))
 
 
-def narrative_steps(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def narrative_steps(
+    events: DataFrame, order: Sequence[str] = ORDER, rows_per_bucket: int | None = None
+) -> DataFrame:
     """The steps of every narrative that has any."""
-    return steps_in_order(narrative_rows(events), order)
+    return steps_in_order(narrative_rows(events), order, rows_per_bucket)
 
 
 def narrative_from_filters(
@@ -157,6 +169,7 @@ def neighbours(
     keys: Sequence[str] = (),
     order: Sequence[str] = ORDER,
     key: str = "event_key",
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Key of the previous and the next event in time, over all events or within ``keys``."""
     return numbered(
@@ -164,7 +177,7 @@ def neighbours(
         index="_idx",
         following={"next_key": F.col(key)},
         preceding={"previous_key": F.col(key)},
-        bucket=_days(order),
+        **_cut(events, order, rows_per_bucket),
     ).drop("_idx")
 
 

@@ -200,11 +200,15 @@ def _shown_groups(groups: DataFrame, keys: Sequence[str], event_order: Sequence[
     )
 
 
-def occurrence_index(log: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+def occurrence_index(
+    log: DataFrame, keys: Sequence[str] = ("session",), rows_per_bucket: int | None = None
+) -> DataFrame:
     """Number of each log event among those of its type in its session, from 0. A session
-    may hold most of the log; it is numbered day by day."""
+    may hold most of the log; it is numbered day by day or, if ``rows_per_bucket`` is given,
+    by buckets of about so many rows, however they lie in time."""
     days = F.floor(F.col("ms") / 86_400_000)
-    return numbered(log, [*keys, "eventid"], ["ms", "pos"], index="occurrence", bucket=days)
+    cut = {"bucket": days} if rows_per_bucket is None else {"along": F.col("ms"), "rows_per_bucket": rows_per_bucket}
+    return numbered(log, [*keys, "eventid"], ["ms", "pos"], index="occurrence", **cut)
 
 
 def sessions_to_events(

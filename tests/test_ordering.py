@@ -74,3 +74,51 @@ def test_null_times_come_first(spark, many_parts):
     by_window = numbered(df, ["key"], ["time", "pos"], **options)
     by_bucket = numbered(df, ["key"], ["time", "pos"], bucket=F.floor(F.col("time") / 2), **options)
     assert found(by_bucket) == found(by_window)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [20, 75, 10_000])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_same_numbers_by_sketched_borders(spark, many_parts, rows_per_bucket, keyed):
+    rows = rows_with_hot_key()
+    df = spark.createDataFrame(rows, "key string, time int, pos int, v string").repartition(5)
+    out = numbered(
+        df, ["key"] if keyed else [], ["time", "pos"], total="total",
+        following={"after": F.col("v")}, preceding={"before": F.col("v")}, along=F.col("time"), rows_per_bucket=rows_per_bucket,
+    )
+    assert out.columns == ["key", "time", "pos", "v", "idx", "total", "after", "before"]
+    assert found(out) == expected(rows, keyed)
+
+
+def test_buckets_follow_the_size_of_a_hot_day(spark, many_parts):
+    """A third of all rows lie in one group and within one second of one day."""
+    from eventscope.operators.ordering import _with_borders
+
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", 10**12 + i if i % 3 == 0 else i * 10**9, i, "v") for i in range(3000)]
+    df = spark.createDataFrame(rows + [("hot", None, -1, "v"), (None, 5, -2, "v")], "key string, time long, pos int, v string")
+    cut = _with_borders(df, ["key"], F.col("time"), 100)
+    sizes = (
+        cut.where("key = 'hot' AND time IS NOT NULL")
+        .groupBy(F.size(F.filter("_borders", lambda b: b <= F.col("time")))).count().collect()
+    )
+    assert len(sizes) in (10, 11) and max(r["count"] for r in sizes) < 250
+    assert cut.where("key <> 'hot' AND _borders IS NOT NULL").count() == 0 and cut.count() == 3002
+    out = numbered(df, ["key"], ["time", "pos"], along=F.col("time"), rows_per_bucket=100).where("key = 'hot'")
+    assert [r.pos for r in out.orderBy("idx").collect()] == [-1, *range(0, 3000, 3)]
+
+
+def test_stories_and_logs_by_sketched_borders(spark, many_parts):
+    from eventscope.operators import sequences, sessions
+
+    rows = [("a" if i % 3 else "b", f"e{i}", i // 2, i, str(i)) for i in range(200)]
+    events = spark.createDataFrame(rows, "narrative_id string, event_key string, s long, pos long, latitude string").withColumns(
+        {"datetime": F.timestamp_seconds("s"), "longitude": F.col("latitude"), "turn": F.col("pos").cast("int")}
+    )
+    for order in (["datetime", "pos"], ["turn"]):
+        plain = sequences.steps_in_order(events, order)
+        cut = sequences.steps_in_order(events, order, rows_per_bucket=15)
+        assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        near = [sequences.neighbours(events, ["narrative_id"], order, rows_per_bucket=n) for n in (None, 9)]
+        assert sorted(map(repr, near[0].collect())) == sorted(map(repr, near[1].collect()))
+    log = events.select(F.col("narrative_id").alias("session"), F.lit("x").alias("eventid"), (F.col("s") * 1000).alias("ms"), "pos")
+    both = [sessions.occurrence_index(log, rows_per_bucket=n) for n in (None, 20)]
+    assert sorted(map(repr, both[0].collect())) == sorted(map(repr, both[1].collect()))
