@@ -118,8 +118,35 @@ def test_empty(spark, write_tables):
     assert pipeline.run(spark, folder).count() == 0
 
 
+def test_columns_with_any_name(spark, tmp_path):
+    """Each stage hands on what the caller had, whatever it is called."""
+    names = ["_id", "_digest", "_spans", "spans", "row", "masked", "component", "kept", "keep_id", "_data", "_place", "fingerprint", "n_live"]
+    key = "token = q7Rz1Kp9Vw4Lm2XtB8"
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)] + [f"here is {key} of ours"]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    stages = dict(pipeline.STAGES)
+    for stage in ("exact_dedup", "near_dedup", "secrets"):
+        out = stages[stage](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = {r.doc_id: tuple(r) for r in out.collect()}
+        assert set(found) == set(range(7))
+        assert all(found[i][5:] == rows[i][5:] for i in found), stage
+    assert key.split()[-1] not in found[6][1]
+
+
+def test_tables_between_stages_go(spark, write_tables, tmp_path):
+    from pathlib import Path
+
+    folder = write_tables(documents=([(1, "a b c", "en", "s", 5)], SCHEMA), labels=([], LABELS))
+    before = set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*"))
+    assert pipeline.run(spark, folder).count() == 1
+    made, = set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*")) - before
+    assert [p.name for p in made.iterdir()] == [pipeline.STAGES[-2][0]]
+
+
 def test_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in driver.queries() and [n for n, _ in pipeline.STAGES][0] == "toxicity"
     assert set(queries.ORACLE) <= set(queries.QUERIES)
