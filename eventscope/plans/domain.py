@@ -14,6 +14,7 @@ from eventscope.sources.dimensions import read_dimension
 from eventscope.sources.payloads import (
     read_event_lines, read_events, read_session_export, read_session_log,
 )
+from eventscope.sources.ranges import read_large_events, read_large_export
 
 DIMENSIONS = ("associations", "sources", "sites", "regions", "shapes")
 ASSOCIATION_FIELDS = ["id", "title", "desc", "mode", "filter_paths"]
@@ -123,11 +124,13 @@ def load_domain(
     time_format: str = fixed.TIME_FORMAT,
     event_lines: Sequence[str] = (),
     log_lines: Sequence[str] = (),
+    large_events: Sequence[str] = (),
 ) -> Domain:
     """Read all payloads and link them.
 
     ``events`` are JSON documents, event arrays or session exports, told apart by their
-    content. Bulk data comes as JSON Lines: ``event_lines`` and ``log_lines``.
+    content; ``large_events`` are the same, read in ranges by many tasks. Bulk data comes as
+    JSON Lines: ``event_lines`` and ``log_lines``.
     """
     formats = {"date_format": date_format, "time_format": time_format}
     time = contracts.event_time("date", "time", date_format, time_format)
@@ -138,6 +141,13 @@ def load_domain(
         parts.append(computed(plain.rows, {"datetime": time}))
         parts.append(_session_events(export.rows, ["file", "session"], **formats))
         rejects.append(plain.rejects)
+    if large_events:
+        plain = read_large_events(spark, large_events, custom_fields)
+        export = read_large_export(spark, large_events)
+        parts.append(computed(plain.rows, {"datetime": time}))
+        parts.append(_session_events(export.rows, ["file", "session"], **formats))
+        # Both readers name the files that cannot be read.
+        rejects.append(plain.rejects.unionByName(export.rejects).distinct())
     if event_lines:
         lines = read_event_lines(spark, event_lines, custom_fields)
         parts.append(computed(lines.rows, {"datetime": time}))
