@@ -66,6 +66,24 @@ def test_order_matters(spark):
     assert row.same == 1 and row.swapped < row.edited and row.edited > 0.7
 
 
+def test_order_matters_in_short_texts(spark):
+    """Quarters in reverse share most sets of three words; their signatures are far less alike."""
+    draw = random.Random(4)
+    rows = []
+    for n in (20, 30, 40, 60):
+        for _ in range(20):
+            words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(n)]
+            quarters = [words[i * n // 4 : (i + 1) * n // 4] for i in range(4)]
+            rows.append((n, " ".join(words), " ".join(w for q in reversed(quarters) for w in q)))
+    texts = spark.createDataFrame(rows, "n int, a string, b string")
+    alike = omh.likeness(omh.signature(F.col("a")), omh.signature(F.col("b")))
+    found = {r.n: r.alike for r in texts.groupBy("n").agg(F.avg(alike).alias("alike")).collect()}
+    for n, likeness in found.items():
+        # Six of n - 2 runs of three words cross one of three seams, on either side.
+        shared = (n - 2 - 6) / (n - 2 + 6)
+        assert likeness < 0.8 * shared, (n, likeness, shared)
+
+
 def test_long_text_takes_linear_time(spark):
     df = spark.createDataFrame([("the same words " * 200_000,), ("x" * 3_000_000,)], "text string")
     assert df.select(omh.signature(F.col("text")).alias("s")).where(F.size("s") == omh.BINS).count() == 2

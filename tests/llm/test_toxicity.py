@@ -60,6 +60,23 @@ def test_held_out_labels(spark):
     assert sum(r.toxic == bool(r.label) for r in rows) / len(rows) >= 0.9  # 300 labels to learn from
 
 
+def test_held_out_recall_and_false_rejections(spark):
+    """By a hash of the id, on more labels; each kind of error by itself."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learn(docs, labels.where(~held), F.xxhash64("doc_id"))
+    rows = toxicity.grade(docs.join(labels.where(held).select("doc_id", F.col("toxic").alias("label")), "doc_id"), model)
+    found = {(r.label, r.toxic): r["count"] for r in rows.groupBy("label", "toxic").count().collect()}
+    caught, missed = found.get((1, True), 0), found.get((1, False), 0)
+    print(found)
+    assert caught / (caught + missed) >= 0.85 and caught + missed > 50
+    assert found.get((0, True), 0) / (found.get((0, True), 0) + found[(0, False)]) <= 0.01
+
+
 def test_repeated_rows_and_ids_count_once(spark, write_tables):
     rng = random.Random(8)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
