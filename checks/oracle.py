@@ -348,13 +348,12 @@ for _name, _text in (("search_documents", "src1"), ("search_text", "tion")):
 SELECT doc_id FROM documents
 WHERE contains(lower(text), '{_text}') OR contains(lower(source), '{_text}') OR contains(lower(lang), '{_text}')""")
 
-# A hit takes the letters on both sides, up to six words before and up to five after.
-_LETTERS, _BEFORE, _AFTER = "[a-zA-Z]*", "([^ ]* ){0,6}", "( [^ ]*){0,5}"
-_HIT = f"({_BEFORE}{_LETTERS}tion{_LETTERS}{_AFTER})"
+# Fixed value: a hit with its letters, up to six words before and up to five after.
+SNIPPET = "(([^ ]* ){0,6}[a-zA-Z]*tion[a-zA-Z]*( [^ ]*){0,5})"
 _add("search_snippets", f"""
 SELECT doc_id, CAST(len(hits) AS INTEGER) AS hits, md5(array_to_string(hits, '|')) AS digest FROM (
   SELECT doc_id, CASE WHEN contains(lower(text), 'tion')
-    THEN list_transform(regexp_extract_all(lower(text), '{_HIT}', 1), lambda x: '...' || x)
+    THEN list_transform(regexp_extract_all(lower(text), '{SNIPPET}', 1), lambda x: '...' || x)
     ELSE [regexp_extract(text, '^(([^ ]* ){{0,10}})', 1)] END AS hits
   FROM documents)""")
 
@@ -706,6 +705,24 @@ laid(i, customer, lane) AS (
 )"""), """
 SELECT customer AS project, lane, lane * 16 AS "offset" FROM laid""")
 
+# Span by span, with the end of the last span in each lane.
+_add("lowest_lanes", _with(SPACE + """,
+span AS (
+  SELECT customer, min(ms) AS s, max(ms) AS e, row_number() OVER (ORDER BY min(ms), min(event_key)) AS n
+  FROM space WHERE latitude = '' AND longitude = '' GROUP BY customer
+),
+laid(n, customer, lane, ends) AS (
+  SELECT CAST(0 AS BIGINT), NULL::BIGINT, CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n, customer, p - 1,
+         list_transform(range(1, greatest(len(ends), p) + 1), lambda i: CASE WHEN i = p THEN e ELSE ends[i] END)
+  FROM (
+    SELECT b.n, b.customer, b.e, a.ends,
+           CAST(coalesce(list_min(list_filter(range(1, len(a.ends) + 1), lambda i: a.ends[i] < b.s)), len(a.ends) + 1) AS BIGINT) AS p
+    FROM laid a JOIN span b ON b.n = a.n + 1)
+)"""), """
+SELECT customer AS project, lane, lane * 16 AS "offset" FROM laid WHERE n > 0""")
+
 # Lanes needed = greatest number of spans open at one time; ends count as open.
 _add("lanes_used", _with(SESSIONS + """,
 span AS (SELECT session, min(ts) AS s, max(ts) AS e FROM staged GROUP BY session)"""), """
