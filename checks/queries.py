@@ -11,7 +11,7 @@ from eventscope import fixed_values as fixed
 from eventscope.functions import paths, predicates as p, values as v
 from eventscope.functions.text import snippets
 from eventscope.operators import (
-    contracts, groups, hierarchy, links, logfields, selection, sequences, sessions, spatial, timeline,
+    contracts, groups, hierarchy, lanes, links, logfields, selection, sequences, sessions, spatial, timeline,
 )
 from eventscope.operators.ordering import numbered
 from eventscope.plans import flows
@@ -856,6 +856,12 @@ def assign_lanes(spark, sf):
     return laid.select("project", "lane", "offset")
 
 
+@query
+def lowest_lanes(spark, sf):
+    laid = lanes.lowest_lanes(_spans(spark, sf), 16)
+    return laid.select("project", "lane", "offset")
+
+
 @query
 def lanes_used(spark, sf):
     """Sessions as spans: lanes needed."""

@@ -141,9 +141,9 @@ def _by_bucket(df, keys, order, index, total, following, preceding, bucket):
     return joined.select(*[F.col(f"r.`{c}`") for c in kept], *[c.alias(name) for name, c in out.items()])
 
 
-def range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Rows spread over tasks by ``order`` and sorted there, with ``_place`` rising in
-    that order and ``_part`` the task.
+    that order and ``_part`` the task; ``parts`` tasks, or as many as a shuffle has.
 
     The checkpoint keeps the split as it is: split points are sampled, and a second run
     would draw other ones.
@@ -151,7 +151,7 @@ def range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     use_checkpoint_folder(df.sparkSession)
     place = F.monotonically_increasing_id()
     return (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*([parts] if parts else []), *order)
         .sortWithinPartitions(*order)
         .withColumn("_place", place)
         .withColumn("_part", F.shiftright("_place", 33))
