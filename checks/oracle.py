@@ -640,6 +640,48 @@ _add("clusters", _with(_cells(ALL_ZOOMS)), f"""
 SELECT CAST(zoom AS INTEGER) AS zoom, cell_x, cell_y, point_count, point_count > 1 AS is_cluster, {CENTRE}, expansion_zoom
 FROM opened""")
 
+
+def _circles(finest: int, coarsest: int) -> str:
+    """A zoom at a time, from the finest; in each, a point at a time by label. A point is a
+    centre unless a centre before it is near; others go to their first centre."""
+    sql = POINTS + f""",
+level{finest + 1} AS (SELECT label AS k, x, y, lat, lon, CAST(1 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS origin FROM points)"""
+    for zoom in range(finest, coarsest - 1, -1):
+        radius = f"(30 / CAST({512 * 2**zoom} AS DOUBLE))"
+        near = f"(c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) <= {radius} * {radius}"
+        sql += f""",
+ord{zoom} AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM level{zoom + 1}),
+walk{zoom}(i, centres) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, x DOUBLE, y DOUBLE)[])
+  UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(w.centres, lambda c: {near})) > 0 THEN w.centres
+                   ELSE list_append(w.centres, {{'k': o.k, 'x': o.x, 'y': o.y}}) END
+  FROM walk{zoom} w JOIN ord{zoom} o ON o.i = w.i + 1
+),
+centre{zoom} AS (SELECT unnest(centres, recursive := true) FROM walk{zoom} WHERE i = (SELECT max(i) FROM walk{zoom})),
+taken{zoom} AS (
+  SELECT o.k, o.x, o.y, o.lat, o.lon, o.n, o.origin, min(c.k) AS parent
+  FROM ord{zoom} o JOIN centre{zoom} c ON {near} GROUP BY ALL
+),
+level{zoom} AS (
+  SELECT parent AS k, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y, arg_min(lat, k) AS lat, arg_min(lon, k) AS lon,
+         CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN min(origin) ELSE {zoom} END AS origin
+  FROM taken{zoom} GROUP BY parent
+)"""
+    return sql
+
+
+_add("circle_clusters", _with(_circles(4, 1)), " UNION ALL ".join(f"""
+SELECT {zoom} AS zoom, k AS label, n AS point_count, n > 1 AS is_cluster,
+       round(CASE WHEN n > 1 THEN (x - 0.5) * 360 ELSE lon END, 6) AS longitude,
+       round(CASE WHEN n > 1 THEN atan(exp((1 - y * 2) * pi())) * 360 / pi() - 90 ELSE lat END, 6) AS latitude,
+       CASE WHEN n > 1 THEN origin + 1 END AS expansion_zoom
+FROM level{zoom}""" for zoom in (4, 3, 2, 1)))
+
+_add("circle_members", _with(_circles(3, 1)), """
+SELECT a.k AS label, c.parent AS cluster
+FROM taken3 a JOIN taken2 b ON b.k = a.parent JOIN taken1 c ON c.k = b.parent""")
+
 _add("cluster_totals", _with(_cells(ALL_ZOOMS)), """
 SELECT CAST(zoom AS INTEGER) AS zoom, CAST(sum(CASE WHEN point_count > 1 THEN point_count ELSE 0 END) AS BIGINT) AS points_in_clusters
 FROM grouped GROUP BY 1""")

@@ -11,7 +11,7 @@ from eventscope import fixed_values as fixed
 from eventscope.functions import paths, predicates as p, values as v
 from eventscope.functions.text import snippets
 from eventscope.operators import (
-    contracts, groups, hierarchy, lanes, links, logfields, selection, sequences, sessions, spatial, timeline,
+    circles, contracts, groups, hierarchy, lanes, links, logfields, selection, sequences, sessions, spatial, timeline,
 )
 from eventscope.operators.ordering import numbered
 from eventscope.plans import flows
@@ -779,6 +779,19 @@ def clusters(spark, sf):
     return _rounded(spatial.cluster(_points(spark, sf)))
 
 
+@query
+def circle_clusters(spark, sf):
+    found = circles.circle_clusters(_points(spark, sf), min_zoom=1, max_zoom=4)
+    return _rounded(found.clusters)
+
+
+@query
+def circle_members(spark, sf):
+    """Places with the circle they are in, two zooms above the finest."""
+    found = circles.circle_clusters(_points(spark, sf), min_zoom=1, max_zoom=3)
+    return circles.circle_members(found, 1, max_zoom=3)
+
+
 @query
 def cluster_totals(spark, sf):
     return spatial.cluster_totals(spatial.cluster(_points(spark, sf)))

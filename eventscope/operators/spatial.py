@@ -31,6 +31,11 @@ def project(df: DataFrame, latitude: str = "latitude", longitude: str = "longitu
     })
 
 
+def latitude_of(y: Column) -> Column:
+    """Degrees of a Web-Mercator ``y``."""
+    return F.atan(F.exp((1 - y * 2) * F.pi())) * 360 / F.pi() - 90
+
+
 def cell(coordinate: str, zoom: int, radius: int = fixed.CLUSTER_RADIUS) -> Column:
     return F.floor(F.col(coordinate) * F.lit(fixed.TILE_SIZE * 2**zoom / radius)).cast("long")
 
@@ -79,7 +84,6 @@ def cluster(
     )
     many = F.col("point_count") > 1
     x, y = F.col("sx") / F.col("point_count"), F.col("sy") / F.col("point_count")
-    centre_lat = F.atan(F.exp((1 - y * 2) * F.pi())) * 360 / F.pi() - 90
     return groups.select(
         "zoom",
         "cell_x",
@@ -87,7 +91,7 @@ def cluster(
         "point_count",
         many.alias("is_cluster"),
         F.when(many, (x - 0.5) * 360).otherwise(F.col("lon")).alias("longitude"),
-        F.when(many, centre_lat).otherwise(F.col("lat")).alias("latitude"),
+        F.when(many, latitude_of(y)).otherwise(F.col("lat")).alias("latitude"),
         _expansion_zoom(max_zoom).alias("expansion_zoom"),
     )
 

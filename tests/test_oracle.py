@@ -31,7 +31,7 @@ def test_entry(spark):
 
 
 # Sorted over all tasks, with a checkpoint that keeps the split: see ``range_sorted``.
-SAVED_FIRST = {"assign_lanes", "lowest_lanes", "lanes_used", "lane_islands"}
+SAVED_FIRST = {"assign_lanes", "lowest_lanes", "lanes_used", "lane_islands", "circle_clusters", "circle_members"}
 
 
 def test_no_job_runs_while_a_plan_is_built(spark):
