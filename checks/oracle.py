@@ -546,6 +546,12 @@ for _name in ("step_of", "first_step_of"):
     _add(_name, _with(LATEST + STEPS[len(SPACE):]), """
 SELECT narrative_id, event_key, step_idx FROM steps WHERE event_key IN (SELECT event_key FROM latest)""")
 
+for _name, _end in (("last_step_of_category", "max"), ("first_step_of_category", "min")):
+    _add(_name, _with(LATEST + STEPS[len(SPACE):]), f"""
+SELECT narrative_id, category, {_end}(step_idx) AS step_idx FROM steps
+WHERE category IN (SELECT category FROM space WHERE event_key IN (SELECT event_key FROM latest))
+GROUP BY 1, 2""")
+
 _add("step_at", _with(STEPS), "SELECT narrative_id, event_key FROM steps WHERE step_idx = 3")
 
 _add("only_in_narrative", _with(SPACE), f"""
@@ -727,6 +733,11 @@ SELECT CAST(minutes AS INTEGER) AS minutes, ms // (minutes * 60000) * (minutes *
 FROM space, (SELECT CAST(unnest([10512000, 1051200, 129600, 4320, 720, 60]) AS BIGINT) AS minutes)
 GROUP BY 1, 2, 3""")
 
+_add("activity_rolled_up", _with(SPACE), """
+SELECT CAST(minutes AS INTEGER) AS minutes, ms // (minutes * 60000) * (minutes * 60000) AS window_ms, category AS track, count(*) AS events
+FROM space, (SELECT CAST(unnest([60, 720, 4320, 129600]) AS BIGINT) AS minutes)
+GROUP BY 1, 2, 3""")
+
 _add("assign_lanes", _with(SPACE + """,
 span AS (
   SELECT customer, min(ms) AS s, max(ms) AS e, row_number() OVER (ORDER BY min(ms), min(event_key)) AS n

@@ -14,7 +14,7 @@ from eventscope.operators import (
     circles, contracts, groups, hierarchy, lanes, links, logfields, selection, sequences, sessions, spatial, timeline,
 )
 from eventscope.operators.ordering import numbered
-from eventscope.plans import flows
+from eventscope.plans import flows, totals
 from eventscope.plans.domain import link_domain
 from eventscope.plans.view import View
 from eventscope.sources import payloads
@@ -696,6 +696,23 @@ def step_of(spark, sf):
     return sequences.step_of(sequences.narrative_steps(events), _latest_orders(events))
 
 
+def _steps_by_category(spark, sf):
+    """Steps of each place's story, and categories in place of event keys: one comes again."""
+    events = t.space_events(spark, sf)
+    steps = sequences.narrative_steps(events)
+    return steps, _latest_orders(events).join(events.select("event_key", "category"), "event_key")
+
+
+@query
+def last_step_of_category(spark, sf):
+    return sequences.step_of(*_steps_by_category(spark, sf), key="category")
+
+
+@query
+def first_step_of_category(spark, sf):
+    return sequences.first_step_of(*_steps_by_category(spark, sf), key="category")
+
+
 @query
 def first_step_of(spark, sf):
     events = t.space_events(spark, sf)
@@ -863,6 +880,15 @@ def _spans(spark, sf):
     return groups.project_spans(t.space_events(spark, sf), "customer")
 
 
+@query
+def activity_rolled_up(spark, sf):
+    """Four widths of the timeline, each added up from the one before."""
+    events = t.space_events(spark, sf)
+    fine = timeline.activity(events, 60, "category").withColumnRenamed("category", "track")
+    levels = totals.roll_up(fine, [60, 720, 4320, 129600], 60)
+    return levels.select("minutes", millis("window_start").alias("window_ms"), "track", "events")
+
+
 @query
 def assign_lanes(spark, sf):
     laid = timeline.assign_lanes(_spans(spark, sf), 16)
